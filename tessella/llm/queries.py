@@ -6,6 +6,8 @@ import importlib
 
 #: Query name -> module that defines a function of that name.
 MODULES = {
+    "op2_secret_scans": "secret_scan",
+    "op4_best_fit_packing": "packing",
     "op7_quality_rules": "quality_rules",
 }
 #: Modules with an ``ORACLE`` dict of query name -> DuckDB SQL.
