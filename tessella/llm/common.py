@@ -79,3 +79,8 @@ def labelled_ids(labels: DataFrame, label: str, limit: int, keep: Column | None
         rows = rows.where(keep)
     rows = rows.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+
+
+def once(rows: DataFrame, *columns: str) -> DataFrame:
+    """One row per doc_id (the least by the columns), so that repeated ids cannot widen a bounded sample."""
+    return rows.groupBy("doc_id").agg(F.min(F.struct(*columns)).alias("_r")).select("doc_id", "_r.*")

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import labelled_ids, let, table
+from .common import labelled_ids, let, once, table
 
 #: Bound of the labelled sample a list is learned from.
 LABELLED = 12_000
@@ -190,7 +190,7 @@ def learn(x: np.ndarray, bad: np.ndarray, names: list[str]) -> list[Rule]:
 def fit(docs: DataFrame, labels: DataFrame) -> list[Rule]:
     """A list learned from at most LABELLED labelled documents (quality 0: reject)."""
     ids = labelled_ids(labels, "quality", LABELLED)
-    sample = statistics(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id"))
+    sample = statistics(once(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id"), "label", "text"))
     names = list(FEATURES)
     rows = sample.select("doc_id", "label", *[feature(n).alias(n) for n in names]).collect()
     rows.sort(key=lambda r: ((r["doc_id"] * 2654435761) % 4294967296, r["doc_id"]))

@@ -6,7 +6,9 @@ import importlib
 
 #: Query name -> module that defines a function of that name.
 MODULES = {
+    "op1_quality_classifier": "quality_nbsvm",
     "op2_secret_scans": "secret_scan",
+    "op3_language_id": "language_id",
     "op4_best_fit_packing": "packing",
     "op7_quality_rules": "quality_rules",
 }
