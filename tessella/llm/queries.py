@@ -6,6 +6,7 @@ import importlib
 
 #: Query name -> module that defines a function of that name.
 MODULES = {
+    "op5_sentencepiece": "sentencepiece_codec",
     "op1_quality_classifier": "quality_nbsvm",
     "op2_secret_scans": "secret_scan",
     "op3_language_id": "language_id",
