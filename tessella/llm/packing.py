@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
@@ -54,6 +55,9 @@ class ChunkEncoder:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
+        size = self.tok.get_vocab_size()
+        #: Bytes that an id stands for; byte-level pieces have a letter for each byte, special ones stand for themselves.
+        self.width = np.array([len(self.tok.id_to_token(i) or "") for i in range(size)], np.int64)
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
 
@@ -62,8 +66,19 @@ class ChunkEncoder:
         if len(known) + len(new) > CACHE:
             known.clear()
             new = list(chunks)
-        for chunk, enc in zip(new, self.tok.encode_batch_fast([blank + c for c in new], add_special_tokens=False), strict=True):
-            known[chunk] = np.asarray(enc.ids, "<u4").tobytes()
+        if not blank:
+            for chunk in new:
+                known[chunk] = np.asarray(self.tok.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        elif new:
+            # one call for all: ids are told apart by the bytes they stand for
+            text = blank + blank.join(new)
+            ids = np.asarray(self.tok.encode(text, add_special_tokens=False).ids, "<u4")
+            ends = np.cumsum([len(c.encode()) + len(blank) for c in new])
+            at = np.searchsorted(np.cumsum(self.width[ids]), ends, side="left") + 1
+            data, lo = ids.tobytes(), 0
+            for chunk, hi in zip(new, (4 * at).tolist(), strict=True):
+                known[chunk] = data[lo:hi]
+                lo = hi
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [re.split(r" (?=\S)", t) if _ODD.search(t) else t.split(" ") for t in texts]
@@ -73,6 +88,12 @@ class ChunkEncoder:
         return [b"".join([self.first[parts[0]], *map(get, parts[1:])]) for parts in cut]
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> ChunkEncoder:
+    """One encoder a worker process: what it remembers serves later tasks."""
+    return ChunkEncoder(path)
+
+
 def pieces_of(count: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of each piece of a document of ``count`` ids; only the first may be short."""
     if count <= capacity:
@@ -89,7 +110,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
     end = np.asarray([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = ChunkEncoder(path)
+        enc = encoder(path)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for lo in range(0, len(ids), 64):
