@@ -101,7 +101,7 @@ class DoubleArray:
         size = 2 * len(children) + 1024
         base, check, value_of = np.zeros(size, np.int64), np.full(size, -1, np.int64), np.full(size, -1, np.int64)
         check[0] = 0
-        first_free, hint, todo = 1, 1, [(0, 0)]
+        first_free, hint, todo = 257, 257, [(0, 0)]  # states behind 256 have room for any byte in front
         while todo:
             node, state = todo.pop()
             value_of[state] = ends.get(node, -1)
@@ -112,15 +112,12 @@ class DoubleArray:
                 first_free += 1
             low, lo, at = int(bytes_[0]), max(first_free, hint), -1
             if len(bytes_) == 1:
-                slot = first_free
-                while slot <= low or check[slot] >= 0:
-                    slot += 1
-                at = slot - low - 1
+                at = first_free - low - 1
             while at < 0:
                 if lo + 1024 > len(check):
                     base, check, value_of = (np.r_[a, np.full(len(a) + 4096, fill, np.int64)] for a, fill in ((base, 0), (check, -1), (value_of, -1)))
                 slots = np.flatnonzero(check[lo : lo + 128] < 0) + lo
-                tries = slots[slots > low] - low - 1
+                tries = slots - low - 1
                 fits = tries[(check[tries[:, None] + bytes_[None, :] + 1] < 0).all(1)]
                 lo += 128
                 if len(fits):
