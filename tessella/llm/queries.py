@@ -11,6 +11,7 @@ MODULES = {
     "op2_secret_scans": "secret_scan",
     "op3_language_id": "language_id",
     "op4_best_fit_packing": "packing",
+    "op10_url_filters": "url_filters",
     "op7_quality_rules": "quality_rules",
 }
 #: Modules with an ``ORACLE`` dict of query name -> DuckDB SQL.
