@@ -12,10 +12,11 @@ MODULES = {
     "op3_language_id": "language_id",
     "op4_best_fit_packing": "packing",
     "op10_url_filters": "url_filters",
+    "op6_topk_search": "topk_search",
     "op7_quality_rules": "quality_rules",
 }
 #: Modules with an ``ORACLE`` dict of query name -> DuckDB SQL.
-ORACLES = ()
+ORACLES = ("topk_search",)
 
 
 def queries() -> dict:
