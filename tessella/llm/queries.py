@@ -8,6 +8,7 @@ import importlib
 MODULES = {
     "op5_sentencepiece": "sentencepiece_codec",
     "op1_quality_classifier": "quality_nbsvm",
+    "op9_jaccard_join": "jaccard_join",
     "op2_secret_scans": "secret_scan",
     "op3_language_id": "language_id",
     "op4_best_fit_packing": "packing",
