@@ -8,6 +8,7 @@ import importlib
 MODULES = {
     "op5_sentencepiece": "sentencepiece_codec",
     "op1_quality_classifier": "quality_nbsvm",
+    "op8_line_dedup": "line_dedup",
     "op9_jaccard_join": "jaccard_join",
     "op2_secret_scans": "secret_scan",
     "op3_language_id": "language_id",
