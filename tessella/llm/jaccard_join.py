@@ -8,11 +8,15 @@ sketch over all documents, of a fixed size - and permutations of the hashes.
 1. Equal sets become one class, named by its smallest doc_id.
 2. An inverted index of prefix tokens under the frequency order, reduced to tokens
    that several classes share.
-3. Within a token's classes, one pivot is compared with all others: as many pairs as
-   index rows, so a large group of near copies costs no square. Links merge classes.
-   A second round takes a pivot of another component.
+3. Within a token's classes, one pivot - the class with the fewest rarer tokens before
+   it, as the original of many near copies has - is compared with all others: as many
+   pairs as index rows, so a large group of near copies costs no square. Links merge
+   classes. A second round takes a pivot of another component.
 4. What is left - classes that share a token and are in different components yet - is
-   compared pair by pair. So no link between components is lost.
+   compared pair by pair, the shorter with the longer. The shorter set of a link has
+   the first shared token among its first n - ceil(2t / (1 + t) * n) + 1, and what
+   stands behind the token in both sets must suffice; both are join conditions. So no
+   link between components is lost.
 
 Candidates must also share a prefix token under every other order; those that pass
 all filters are verified by their whole sets. Components are found over the links.
@@ -30,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
@@ -124,68 +128,79 @@ def prefixes(docs: DataFrame, k: int, percent: int, rank: np.ndarray) -> DataFra
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, h1 long, h2 long, prefix array<long>")
 
 
-def whole_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """id, its whole set, and its prefix under each further order."""
+def whole_sets(docs: DataFrame, k: int) -> DataFrame:
+    """id and its whole set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t, k) for t in batch.column(1).to_pylist()]
-            cols = [_lists(sets)]
-            for odd in ORDERS:
-                first = []
-                for s in sets:
-                    turned, p = s * np.uint64(odd), prefix_size(len(s), percent)
-                    first.append(s[np.argpartition(turned, p - 1)[:p]] if 0 < p < len(s) else s)
-                cols.append(_lists(first))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["id", "tokens", *(f"p{i}" for i in range(len(ORDERS)))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(sets)], names=["id", "tokens"])
 
-    kinds = ", ".join(f"p{i} array<long>" for i in range(len(ORDERS)))
-    return docs.select("doc_id", "text").mapInArrow(run, f"id long, tokens array<long>, {kinds}")
+    return docs.select("doc_id", "text").mapInArrow(run, "id long, tokens array<long>")
 
 
 def _views(column: pa.Array) -> list[np.ndarray]:
-    ends, flat = np.asarray(column.offsets), np.asarray(column.values)
+    ends, flat = np.asarray(column.offsets), np.asarray(column.values).view(np.uint64)
     return [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sets share a prefix token under every order of ORDERS and reach the similarity."""
+    for odd in ORDERS:
+        first = []
+        for s in (x, y):
+            p = prefix_size(len(s), percent)
+            turned = s * np.uint64(odd)
+            first.append(np.partition(turned, p - 1)[:p] if p < len(s) else turned)
+        if not len(np.intersect1d(*first, assume_unique=True)):
+            return False
+    same = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * same >= percent * (len(x) + len(y) - same)
+
+
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that share a prefix token under every order and reach the similarity."""
-    names = ["tokens", *(f"p{i}" for i in range(len(ORDERS)))]
-    side = lambda s: sets.select(F.col("id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in names])
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    """The pairs (a, b) that pass the other orders' filters and reach the similarity."""
+    side = lambda s: sets.select(F.col("id").alias(s), F.col("tokens").alias(f"{s}_tokens"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_tokens", "b_tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            get = {c: _views(batch.column(batch.schema.get_field_index(c))) for c in batch.schema.names if c not in ("a", "b")}
-            keep = []
-            for i in range(batch.num_rows):
-                for c in names[1:]:
-                    if not len(np.intersect1d(get[f"a_{c}"][i], get[f"b_{c}"][i], assume_unique=True)):
-                        break
-                else:
-                    x, y = get["a_tokens"][i], get["b_tokens"][i]
-                    same = len(np.intersect1d(x, y, assume_unique=True))
-                    if 100 * same >= percent * (len(x) + len(y) - same):
-                        keep.append(i)
+            tokens = zip(_views(batch.column(2)), _views(batch.column(3)), strict=True)
+            keep = [i for i, (x, y) in enumerate(tokens) if similar(x, y, percent)]
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
     return both.mapInArrow(run, "a long, b long")
 
 
+def _short_prefix(n: Column, percent: int) -> Column:
+    """Length of the prefix that holds a shared token of the shorter set of a link: n - ceil(2t / (1 + t) * n) + 1."""
+    return n - F.ceil(n * F.lit(2 * percent) / F.lit(100 + percent) - F.lit(1e-9)) + 1
+
+
+def _possible(one: str, two: str, percent: int) -> Column:
+    """Lengths, and what is left behind the positions of the first shared token, admit the similarity."""
+    n, m, i, j = (F.col(c) for c in (f"{one}n", f"{two}n", f"{one}pos", f"{two}pos"))
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * F.least(n - i, m - j) >= percent * (n + m))
+
+
 def classes(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every row; docs has doc_id and text."""
     scratch = Scratch(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rank = frequencies(docs, k)
     rows = scratch.save(prefixes(docs, k, percent, rank), "rows")
-    named = rows.where("n > 0 and doc_id is not null").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("id"))
-    named = scratch.save(named, "named")
-    reps = rows.withColumnRenamed("doc_id", "id").join(named, ["h1", "h2", "n", "id"])
-    index = reps.select("id", "n", F.explode("prefix").alias("token"))
-    shared = index.groupBy("token").agg(F.min(F.struct("id", "n")).alias("low"), F.max("id").alias("high")).where("low.id < high")
-    shared = scratch.save(shared.select("token", F.col("low.id").alias("pivot"), F.col("low.n").alias("pivot_n")), "shared")
-    index = scratch.save(index.join(shared, "token"), "index")
-    alike = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
+    some = rows.where("n > 0 and doc_id is not null").select("h1", "h2", "n", "doc_id")
+    named = scratch.save(some.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("id")), "named")
+    # of each class only the smallest id is indexed; the few others are told by a small table, so that prefixes stay where they are
+    others = some.join(named, ["h1", "h2", "n"]).where("doc_id > id").select("doc_id", "h1", "h2").distinct()
+    others = sized(scratch.save(others, "others"))
+    reps = rows.where("n > 0 and doc_id is not null").join(others, ["doc_id", "h1", "h2"], "left_anti")
+    index = reps.select(F.col("doc_id").alias("id"), "n", F.posexplode("prefix").alias("pos", "token")).withColumn("short", F.col("pos") < _short_prefix(F.col("n"), percent))
+    shared = index.groupBy("token").agg(F.count("*").alias("c"), F.max("short").alias("s")).where("c > 1 and s").select("token")
+    index = scratch.save(index.join(sized(scratch.save(shared, "shared")), "token"), "index")
+    low = F.min(F.when(F.col("short"), F.struct("pos", "n", "id"))).alias("low")
+    pivots = index.groupBy("token").agg(low, F.min("id").alias("x"), F.max("id").alias("y")).where("low is not null and x < y")
+    pivots = scratch.save(pivots.select("token", *[F.col(f"low.{c}").alias(f"p_{c}") for c in ("id", "n", "pos")]), "pivots")
     seen, links = None, None
 
     def compare(pairs: DataFrame, name: str) -> None:
@@ -196,30 +211,40 @@ def classes(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFram
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         pairs = scratch.save(pairs, f"pairs-{name}")
         ids = scratch.save(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), f"ids-{name}")
-        sets = scratch.save(whole_sets(docs.join(sized(ids), "doc_id", "left_semi"), k, percent), f"sets-{name}")
+        sets = scratch.save(whole_sets(docs.join(sized(ids), "doc_id", "left_semi"), k), f"sets-{name}")
         new = scratch.save(linked(pairs, sets, percent), f"links-{name}")
         scratch.drop(f"sets-{name}", f"ids-{name}")
         seen = pairs if seen is None else seen.unionByName(pairs)
         links = new if links is None else links.unionByName(new)
 
-    compare(index.where(alike(F.col("n"), F.col("pivot_n")) & (F.col("id") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("id").alias("b")), "pivot")
+    star = (F.col("id") != F.col("p_id")) & _possible("", "p_", percent)
+    compare(index.join(pivots, "token").where(star).select(F.col("p_id").alias("a"), F.col("id").alias("b")), "pivot")
     for turn in ("other", "rest"):
         comps = scratch.save(components(links, scratch, f"cc-{turn}"), f"comps-{turn}")
-        placed = index.select("token", "id", "n").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        placed = scratch.save(placed, f"placed-{turn}")
-        split = placed.groupBy("token").agg(F.min("comp").alias("x"), F.max(F.struct("comp", "id", "n")).alias("y")).where("x < y.comp")
-        split = scratch.save(split.select("token", F.col("y.comp").alias("c"), F.col("y.id").alias("p"), F.col("y.n").alias("p_n")), f"split-{turn}")
+        placed = index.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        first = F.min(F.struct("pos", "comp")).alias("p")
+        split = placed.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.max("short").alias("s"), first).where("x < y and s")
+        split = scratch.save(split.select("token", F.col("p.comp").alias("p_comp")), f"split-{turn}")
         mixed = placed.join(split, "token")
         if turn == "other":
-            compare(mixed.where((F.col("comp") != F.col("c")) & alike(F.col("n"), F.col("p_n"))).select(F.col("p").alias("a"), F.col("id").alias("b")), turn)
-        else:
-            mixed = scratch.save(mixed.select("token", "id", "n", "comp"), "mixed")
-            x, y = (mixed.select("token", *[F.col(c).alias(f"{s}_{c}") for c in ("id", "n", "comp")]) for s in "xy")
-            met = x.join(y, "token").where((F.col("x_comp") < F.col("y_comp")) & alike(F.col("x_n"), F.col("y_n")))
-            compare(met.select(F.col("x_id").alias("a"), F.col("y_id").alias("b")), turn)
+            mixed = scratch.save(mixed, "mixed-other")
+            second = mixed.where(F.col("short") & (F.col("comp") != F.col("p_comp"))).groupBy("token").agg(F.min(F.struct("pos", "n", "id", "comp")).alias("q"))
+            second = scratch.save(second.select("token", *[F.col(f"q.{c}").alias(f"q_{c}") for c in ("id", "n", "pos", "comp")]), "second")
+            met = mixed.join(second, "token").where((F.col("comp") != F.col("q_comp")) & _possible("", "q_", percent))
+            compare(met.select(F.col("q_id").alias("a"), F.col("id").alias("b")), turn)
+            continue
+        names = ("id", "n", "pos", "comp")
+        mixed = scratch.save(mixed.select("token", "short", *names), "mixed")
+        x = mixed.where("short").select("token", *[F.col(c).alias(f"x_{c}") for c in names])
+        y = mixed.select("token", *[F.col(c).alias(f"y_{c}") for c in names])
+        longer = (F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_id") < F.col("y_id")))
+        met = x.join(y, (x["token"] == y["token"]) & longer & (F.col("x_comp") != F.col("y_comp")) & _possible("x_", "y_", percent))
+        compare(met.select(F.col("x_id").alias("a"), F.col("y_id").alias("b")), turn)
     comps = scratch.save(components(links, scratch, "cc"), "comps")
     named = named.withColumnRenamed("id", "rep").join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("h1", "h2", "n", F.coalesce("comp", "rep").alias("comp"))
     named = scratch.save(named, "class-components")
+    scratch.drop("named", "others", "shared", "index", "pivots", "mixed", "mixed-other", "second", "comps")
+    scratch.drop(*[f"{what}-{turn}" for what in ("pairs", "links", "split", "comps") for turn in ("pivot", "other", "rest")])
     out = rows.select("doc_id", "n", "h1", "h2").join(named, ["h1", "h2", "n"], "left")
     found = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), found.alias("component_id"))
