@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+from .plans import raster_queries
+
+MODULES = (raster_queries,)
+
 
 def queries() -> dict:
-    return {}
+    out: dict = {}
+    for m in MODULES:
+        out |= m.QUERIES
+    return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    out: dict[str, str] = {}
+    for m in MODULES:
+        out |= m.ORACLE
+    return out
