@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import raster_queries
+from .plans import curation_queries, distance_queries, raster_queries
 
-MODULES = (raster_queries,)
+MODULES = (raster_queries, distance_queries, curation_queries)
 
 
 def queries() -> dict:
