@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import curation_queries, distance_queries, raster_queries
+from .plans import curation_queries, distance_queries, monitor_queries, raster_queries, search_queries
 
-MODULES = (raster_queries, distance_queries, curation_queries)
+MODULES = (raster_queries, distance_queries, curation_queries, search_queries, monitor_queries)
 
 
 def queries() -> dict:

@@ -72,8 +72,8 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A synthetic training log: run, seq (from 1 within the run), ts, line."""
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", F.coalesce("value", F.lit(0.0)).alias("value"))
     e, i = F.col("event_id") % 20 + 1, F.col("event_id") % 1000
-    a = F.format_string("%.3f", F.col("value"))
-    step = F.concat(F.lit("(epoch: "), e.cast("string"), F.lit(", iters: "), i.cast("string"), F.lit(", time: 0.1, data: 0.2) G_GAN: "), a, F.lit(" NCE: "), F.format_string("%.3f", F.col("value") / 2))
+    a = F.format_string("%.3f", F.round(F.col("value"), 2))
+    step = F.concat(F.lit("(epoch: "), e.cast("string"), F.lit(", iters: "), i.cast("string"), F.lit(", time: 0.1, data: 0.2) G_GAN: "), a, F.lit(" NCE: "), F.format_string("%.4f", F.round(F.col("value"), 2) / 2))
     line = F.when(F.col("event_type") == "signup", F.concat(F.lit("End of epoch "), e.cast("string"))).when(F.col("event_type") == "error", F.lit("warning: loader is slow")).otherwise(step)
     from pyspark.sql import Window
 
@@ -85,5 +85,5 @@ LOG_SQL = """
     ev as (select event_id, ts, user_id, event_type, coalesce(value, 0.0) as value from events),
     lg as (select user_id as run, (row_number() over (partition by user_id order by ts, event_id))::int as seq, ts, event_id,
            case when event_type = 'signup' then 'End of epoch ' || (event_id % 20 + 1) when event_type = 'error' then 'warning: loader is slow'
-           else '(epoch: ' || (event_id % 20 + 1) || ', iters: ' || (event_id % 1000) || ', time: 0.1, data: 0.2) G_GAN: ' || printf('%.3f', value) || ' NCE: ' || printf('%.3f', value / 2) end as line from ev)
+           else '(epoch: ' || (event_id % 20 + 1) || ', iters: ' || (event_id % 1000) || ', time: 0.1, data: 0.2) G_GAN: ' || printf('%.3f', round(value, 2)) || ' NCE: ' || printf('%.4f', round(value, 2) / 2) end as line from ev)
 """
