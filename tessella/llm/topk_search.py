@@ -13,7 +13,7 @@ bound has a slack above rounding errors, so results are exact.
 What a task or the driver holds is bounded by QUERY_BLOCK, SEEDS and the dimension.
 
 Defined results: rows with null ids, null vectors, or null or non-finite components
-take no part; an id that is repeated counts once, with the least of its vectors;
+take no part, nor those that scaling takes beyond 64 bits; an id that is repeated counts once, with the least of its vectors;
 vectors of fewer components are filled up with zeros; ties go to the smaller id;
 with fewer candidates than k a query has as many rows; products that do not fit into
 64 bits are cut to their range.
@@ -98,9 +98,9 @@ class Best:
             self.cut()
 
     def cut(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        q, ids, s = (np.concatenate(x) if x else np.empty(0) for x in (self.q, self.id, self.s))
+        q, ids, s = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (self.q, self.id, self.s))
         order = np.lexsort((ids, -s, q))
-        q, ids, s = q[order].astype(np.int64), ids[order].astype(np.int64), s[order]
+        q, ids, s = q[order], ids[order], s[order]
         first = np.searchsorted(q, q, side="left")
         rank = np.arange(len(q)) - first
         keep = rank < self.k
@@ -123,16 +123,15 @@ class Queries:
 
 
 def _exact(c: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Integer products of rows of c with the same rows of q."""
-    if len(c) and np.sqrt((c**2).sum(1)).max() * np.sqrt((q**2).sum(1)).max() < 2**52:
-        return np.einsum("ij,ij->i", c, q)
-    top = 2**63 - 1024
-    return np.array([max(-top, min(top, sum(int(a) * int(b) for a, b in zip(x, y, strict=True)))) for x, y in zip(c, q, strict=True)], np.float64)
+    """Integer products of rows of c with the same rows of q, beyond what doubles hold exactly."""
+    if len(c) and np.sqrt((c**2).sum(1)).max() * np.sqrt((q**2).sum(1)).max() < 2**62:
+        return np.einsum("ij,ij->i", c.astype(np.int64), q.astype(np.int64))
+    top = 2**63 - 1
+    return np.array([max(-top, min(top, sum(int(a) * int(b) for a, b in zip(x, y, strict=True)))) for x, y in zip(c, q, strict=True)], np.int64)
 
 
 def search(best: Best, queries: Queries, turn: np.ndarray, ids: np.ndarray, m: np.ndarray) -> None:
     """Offers the candidates m, sorted by falling length, to best."""
-    exact = True
     for lo in range(0, len(m), ROWS):
         c, cid = m[lo : lo + ROWS], ids[lo : lo + ROWS]
         longest = float(np.sqrt((c**2).sum(1)).max())
@@ -160,14 +159,19 @@ def search(best: Best, queries: Queries, turn: np.ndarray, ids: np.ndarray, m: n
             s = c @ queries.m[live].T
             hit = (s > best.least[live]) | ((s == best.least[live]) & (cid[:, None] <= best.last[live]))
             i, j = np.nonzero(hit & (cid[:, None] != queries.ids[live][None, :]))
-            best.add(live[j], cid[i], s[i, j])
+            best.add(live[j], cid[i], s[i, j].astype(np.int64))
             continue
         i, j = np.nonzero(open_) if open_ is not None else np.nonzero(np.ones((len(c), len(live)), bool))
         for at in range(0, len(i), 65536):
             a, b = i[at : at + 65536], live[j[at : at + 65536]]
-            s = _exact(c[a], queries.m[b])
-            hit = ((s > best.least[b]) | ((s == best.least[b]) & (cid[a] <= best.last[b]))) & (cid[a] != queries.ids[b])
-            best.add(b[hit], cid[a][hit], s[hit])
+            if exact:
+                s = np.einsum("ij,ij->i", c[a], queries.m[b])
+                hit = (s > best.least[b]) | ((s == best.least[b]) & (cid[a] <= best.last[b]))
+            else:  # thresholds are rounded here, so ties with them stay in
+                s = _exact(c[a], queries.m[b])
+                hit = s >= best.least[b] - slack[b]
+            hit &= cid[a] != queries.ids[b]
+            best.add(b[hit], cid[a][hit], s[hit].astype(np.int64))
 
 
 def topk(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE) -> DataFrame:
@@ -206,7 +210,7 @@ def topk(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE) -
                 search(best, queries, turn, np.asarray(batch.column(0), np.int64), _matrix(batch.column(1), dim))
             q, ids, s = best.cut()
             for lo in range(0, len(q), 100_000):
-                cols = [queries.ids[q[lo : lo + 100_000]], ids[lo : lo + 100_000], s[lo : lo + 100_000].astype(np.int64)]
+                cols = [queries.ids[q[lo : lo + 100_000]], ids[lo : lo + 100_000], s[lo : lo + 100_000]]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["query_id", "vec_id", "score"])
 
         scratch.save(dealt.mapInArrow(run, _FOUND), f"found/block={block}")
