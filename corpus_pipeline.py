@@ -22,13 +22,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     take short clean documents.
     """
     rules = quality_rules.fit(docs, table(spark, sf_dir, "labels"))
-    return quality_rules.judge(docs, rules).where(F.col("rule") == 0).select(docs.columns)
+    rows = docs.select("text", F.struct("*").alias("row"))  # columns of docs keep their names whatever the operator adds
+    return quality_rules.judge(rows, rules).where(F.col("rule") == 0).select("row.*")
 
 
 def line_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat an earlier line of the corpus go; so do documents that lose all their words by it."""
-    out = line_dedup.dedup(docs).where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    return _measured(out.select(docs.columns))
+    out = line_dedup.dedup(docs).where((F.col("n_removed") == 0) | F.col("row.text").rlike(r"[^\x20\x09-\x0D]"))
+    return _measured(out.select("row.*"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
