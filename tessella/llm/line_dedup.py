@@ -1,15 +1,17 @@
 """Operator 8, line dedup: deletion-neighbourhood join over words [native].
 
-A line is what ``\\n`` splits off; its words are [^\\x20\\x09-\\x0D]+. Of lines with equal
-words, the earliest (by doc_id, then place) stays; likewise of lines of NEAR_WORDS
-words or more that one edit of a word (change, insert, delete) turns into another.
+A line is what ``\\n`` splits off, without white space around it; its words are what
+blanks separate. Of equal lines, the earliest (by doc_id, then place) stays; likewise
+of lines of NEAR_WORDS words or more that one edit of a word (change, insert, delete)
+turns into another.
 
 1. Lines become hashes; equal lines become one, with its earliest place.
 2. Two lines within one edit share their first or last half; lines that share no half
    with another go no further.
-3. The others emit their deletion neighbourhood as hashed keys: a line of n words emits
-   each variant with one word gone, as (n - 1, place, words before, words behind), and
-   itself with a gap at each place, as (n, place, before, behind). Lines that share a
+3. The others emit their deletion neighbourhood (in the half that is not shared) as
+   hashed keys: a line of n words emits each variant with one word gone, as (n - 1,
+   place, words before, words behind), and itself with a gap at each place, as (n,
+   place, before, behind). Lines that share a
    key are one edit apart at that place, whichever two of them; so each is compared with
    the earliest alone, as many pairs as keys.
 4. The edit is verified on the words, and lines with an earlier partner go.
@@ -30,34 +32,32 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, let, sized, table
-from .quality_rules import words
 
 #: Words of a line that may go at all, and of one that may go for a near copy.
 MIN_WORDS, NEAR_WORDS = 3, 10
 BLOCK = 64
+HALVES = ("k0", "k1", "k2", "k3")
 
 
-def _halves(ws: Column) -> Column:
-    """Keys of the first and last halves, in the roles of the shorter line (length n) and the longer (n - 1)."""
+def bare(line: Column) -> Column:
+    """A line without white space around it."""
+    return F.btrim(line, F.lit(" \t\n\u000b\f\r"))
 
-    def of(side: int, m: Column) -> Column:
-        g = F.floor((m - 1) / 2).cast("int")
-        part = F.slice(ws, 1, g) if side == 0 else F.slice(ws, F.size(ws) - g + 1, g)
-        return F.xxhash64(F.lit(side), m, part)
 
-    n = F.size(ws)
-    keys = F.array(of(0, n), of(1, n), of(0, n - 1), of(1, n - 1))
-    return F.when(n >= NEAR_WORDS, keys).otherwise(F.array().cast("array<bigint>"))
+def _half(side: int, m: Column) -> Column:
+    """Key of the first (0) or last (1) half of a line that is the shorter (m = n) or longer (m = n - 1) of two."""
+    g = F.floor((m - 1) / 2).cast("int")
+    return F.when(F.col("n") >= NEAR_WORDS, F.xxhash64(F.lit(side), m, F.call_function("substring_index", F.col("bare"), F.lit(" "), -g if side else g)))
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """doc_id, pos, n, h1, h2 (a 128-bit name of the words) and half keys of each line of MIN_WORDS words or more."""
+    """doc_id, pos, n, h1, h2 (a 128-bit name of the line) and half keys of each line of MIN_WORDS words or more."""
     one = docs.where("doc_id is not null and text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    about = let(
-        words(F.col("line")),
-        lambda ws: F.struct(F.size(ws).alias("n"), F.xxhash64(ws).alias("h1"), F.xxhash64(F.lit(1), ws).alias("h2"), _halves(ws).alias("halves")),
-    )
-    return one.select("doc_id", "pos", about.alias("a")).select("doc_id", "pos", "a.*").where(F.col("n") >= MIN_WORDS)
+    one = one.select("doc_id", "pos", bare(F.col("line")).alias("bare")).where("bare <> ''")
+    one = one.withColumn("n", F.octet_length("bare") - F.octet_length(F.replace("bare", F.lit(" "), F.lit(""))) + 1).where(F.col("n") >= MIN_WORDS)
+    n = F.col("n")
+    halves = [_half(0, n).alias("k0"), _half(1, n).alias("k1"), _half(0, n - 1).alias("k2"), _half(1, n - 1).alias("k3")]
+    return one.select("doc_id", "pos", F.xxhash64("bare").alias("h1"), F.xxhash64(F.lit(1), "bare").alias("h2"), *halves)
 
 
 def _chained(hashes: Column) -> Column:
@@ -72,16 +72,16 @@ def _chained(hashes: Column) -> Column:
     return let(blocks, of)
 
 
-def _variants(ws: Column) -> Column:
-    """Keys of the deletion neighbourhood of a line."""
+def _variants(ws: Column, low: Column, high: Column) -> Column:
+    """Keys of the deletion neighbourhood of a line, at places from low to high."""
 
     def of(hashes: Column) -> Column:
         n = F.size(hashes)
 
         def keys(c: Column) -> Column:
             before, behind = c["before"], c["behind"]
-            gone = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(n - 1, i, F.get(before, i), F.get(behind, n - 1 - i)))
-            gaps = F.transform(F.sequence(F.lit(0), n), lambda i: F.xxhash64(n, i, F.get(before, i), F.get(behind, n - i)))
+            gone = F.transform(F.sequence(low, F.least(n - 1, high)), lambda i: F.xxhash64(n - 1, i, F.get(before, i), F.get(behind, n - 1 - i)))
+            gaps = F.transform(F.sequence(low, F.least(n, high)), lambda i: F.xxhash64(n, i, F.get(before, i), F.get(behind, n - i)))
             return F.concat(gone, gaps)
 
         return let(F.struct(_chained(hashes).alias("before"), let(F.reverse(hashes), _chained).alias("behind")), keys)
@@ -108,35 +108,39 @@ def within_one_edit(a: Column, b: Column) -> Column:
 def gone(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, pos and h1 of the lines that go; docs has doc_id and text."""
     every = scratch.save(lines(docs), "lines")
-    first = every.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("at"), F.first("halves").alias("halves"))
-    first = scratch.save(first.select("h1", "h2", F.col("at.doc_id").alias("doc_id"), F.col("at.pos").alias("pos"), "halves"), "first")
-    half = first.select("h1", "h2", F.explode("halves").alias("half"))
+    first = every.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("at"), F.count("*").alias("c"), *[F.first(k).alias(k) for k in HALVES])
+    first = scratch.save(first.select("h1", "h2", F.col("at.doc_id").alias("doc_id"), F.col("at.pos").alias("pos"), "c", *HALVES), "first")
+    half = first.where("k0 is not null").select("h1", "h2", F.posexplode(F.array(*HALVES)).alias("side", "half"))
     shared = scratch.save(half.groupBy("half").agg(F.count("*").alias("c")).where("c > 1").select("half"), "halves")
-    near = half.join(sized(shared), "half", "left_semi").select("h1", "h2").distinct()
+    # by which halves a line may have a partner: the edit is in the other one
+    near = half.join(sized(shared), "half", "left_semi").groupBy("h1", "h2").agg(F.max(F.col("side") % 2 == 0).alias("head"), F.max(F.col("side") % 2 == 1).alias("tail"))
     near = scratch.save(near.join(first.select("h1", "h2", "doc_id", "pos"), ["h1", "h2"]), "candidates")
     # the words of candidates, from the texts that hold their earliest place
     holders = sized(scratch.save(near.select("doc_id").distinct(), "holders"))
     texts = docs.join(holders, "doc_id", "left_semi").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    texts = texts.join(sized(near), ["doc_id", "pos"]).withColumn("ws", words(F.col("line")))
-    texts = texts.where((F.xxhash64("ws") == F.col("h1")) & (F.xxhash64(F.lit(1), "ws") == F.col("h2")))
-    near = scratch.save(texts.select("h1", "h2", "doc_id", "pos", "ws").dropDuplicates(["h1", "h2"]), "words")
-    keys = near.select("h1", "h2", "doc_id", "pos", F.explode(_variants(F.col("ws"))).alias("key"))
-    groups = keys.groupBy("key").agg(F.min(F.struct("doc_id", "pos", "h1", "h2")).alias("e"), F.count("*").alias("c")).where("c > 1")
-    groups = scratch.save(groups.select("key", "e"), "groups")
+    texts = texts.join(sized(near), ["doc_id", "pos"]).withColumn("bare", bare(F.col("line")))
+    texts = texts.where((F.xxhash64("bare") == F.col("h1")) & (F.xxhash64(F.lit(1), "bare") == F.col("h2")))
+    near = texts.select("h1", "h2", "doc_id", "pos", "head", "tail", F.split("bare", " ").alias("ws"))
+    near = scratch.save(near.dropDuplicates(["h1", "h2"]), "words")
+    n = F.size("ws")
+    g = F.floor((n - 2) / 2).cast("int")
+    keys = near.select("h1", "h2", "doc_id", "pos", F.explode(_variants(F.col("ws"), F.when(F.col("tail"), 0).otherwise(g), F.when(F.col("head"), n).otherwise(n - g))).alias("key"))
+    shared = scratch.save(keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "keys")
+    keys = scratch.save(keys.join(sized(shared), "key", "left_semi"), "shared")
+    groups = keys.groupBy("key").agg(F.min(F.struct("doc_id", "pos", "h1", "h2")).alias("e"))
+    groups = scratch.save(groups, "groups")
     pairs = keys.join(sized(groups), "key").where("h1 <> e.h1 or h2 <> e.h2")
     pairs = pairs.select("h1", "h2", F.col("e.h1").alias("e1"), F.col("e.h2").alias("e2")).distinct()
     side = near.select(F.col("h1").alias("e1"), F.col("h2").alias("e2"), F.col("ws").alias("e_ws"))
     pairs = pairs.join(near.select("h1", "h2", "ws"), ["h1", "h2"]).join(side, ["e1", "e2"])
     dropped = scratch.save(pairs.where(within_one_edit(F.col("ws"), F.col("e_ws"))).select("h1", "h2").distinct(), "dropped")
-    fate = first.select("h1", "h2", F.col("doc_id").alias("d"), F.col("pos").alias("p")).join(dropped.withColumn("near", F.lit(True)), ["h1", "h2"], "left")
-    fate = scratch.save(fate, "fate")
-    repeated = every.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1").select("h1", "h2")
-    some = fate.join(repeated, ["h1", "h2"], "left_semi").unionByName(fate.where("near")).distinct()
+    fate = first.select("h1", "h2", F.col("doc_id").alias("d"), F.col("pos").alias("p"), "c").join(dropped.withColumn("near", F.lit(True)), ["h1", "h2"], "left")
+    some = fate.where("c > 1 or near").drop("c")
     some = scratch.save(some, "some")
     found = every.select("doc_id", "pos", "h1", "h2").join(sized(some), ["h1", "h2"])
     found = found.where("near or doc_id <> d or pos <> p").select("doc_id", "pos", "h1")
     found = scratch.save(found, "gone")
-    scratch.drop("lines", "first", "halves", "candidates", "holders", "words", "groups", "dropped", "fate", "some")
+    scratch.drop("lines", "first", "halves", "candidates", "holders", "words", "keys", "shared", "groups", "dropped", "some")
     return found
 
 
@@ -146,28 +150,27 @@ def _mark(pos: Column, h1: Column) -> Column:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """docs with repeated lines gone from ``text``, plus n_lines and n_removed; other columns as they are."""
+    """row (a struct of docs' columns, with the new ``text``), n_lines and n_removed for each row of docs."""
     scratch = Scratch(docs.sparkSession)
-    narrow = docs.select("doc_id", "text")
-    found = gone(narrow, scratch)
-    marks = found.groupBy("doc_id").agg(F.collect_set(_mark(F.col("pos"), F.col("h1"))).alias("_gone"))
+    found = gone(docs.select("doc_id", "text"), scratch)
+    marks = found.groupBy("doc_id").agg(F.collect_set(_mark(F.col("pos"), F.col("h1"))).alias("gone"))
     marks = sized(scratch.save(marks, "marks"))
-    out = docs.join(marks, "doc_id", "left")
+    out = docs.select("doc_id", "text", F.struct("*").alias("row")).join(marks, "doc_id", "left")
 
     def kept(ls: Column) -> Column:
-        every = F.transform(ls, lambda x, i: _mark(i, F.xxhash64(words(x))))
-        stay = F.array_except(every, F.col("_gone"))
+        every = F.transform(ls, lambda x, i: _mark(i, F.xxhash64(bare(x))))
+        stay = F.array_except(every, F.col("gone"))
         return F.struct(
             F.concat_ws("\n", F.transform(stay, lambda v: F.get(ls, F.shiftright(v, 32).cast("int")))).alias("text"),
             (F.size(ls) - F.size(stay)).cast("long").alias("n"),
         )
 
     split = F.split("text", "\n")
-    new = F.when(F.col("_gone").isNotNull() & F.col("text").isNotNull(), let(split, kept))
-    out = out.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("long")).withColumn("_new", new)
-    out = out.withColumn("n_removed", F.coalesce("_new.n", F.lit(0).cast("long"))).withColumn("text", F.coalesce("_new.text", "text"))
-    return out.select(*docs.columns, "n_lines", "n_removed")
+    new = F.when(F.col("gone").isNotNull() & F.col("text").isNotNull(), let(split, kept))
+    out = out.select("row", F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("long").alias("n_lines"), "text", new.alias("new"))
+    fields = [F.coalesce("new.text", "text").alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns]
+    return out.select(F.struct(*fields).alias("row"), "n_lines", F.coalesce("new.n", F.lit(0).cast("long")).alias("n_removed"))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select("row.*", "n_lines", "n_removed")
