@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,17 @@ from ..sources.views import GRIDS_SQL, grids, mirrored_sql, tall, window_sql
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-H, W, D = F.col("h"), F.col("w"), F.col("data")
+
+def H() -> Column:
+    return F.col("h")
+
+
+def W() -> Column:
+    return F.col("w")
+
+
+def D() -> Column:
+    return F.col("data")
 
 
 def query(name: str, sql: str | None = None):
@@ -24,11 +36,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def _mapped(name: str, column: Column, sql: str) -> None:
+def _mapped(name: str, column: Callable[[], Column], sql: str) -> None:
     """A query that maps each image to an image, in long form."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return tall(grids(spark, sf_dir).select("img", "w", column.alias("data")))
+        return tall(grids(spark, sf_dir).select("img", "w", column().alias("data")))
 
     QUERIES[name] = run
     ORACLE[name] = f"with {GRIDS_SQL}, {sql}"
@@ -46,13 +58,13 @@ def stats_sql(r: int, source: str = "g") -> str:
 ENL = "enl as (select img, least(greatest(avg(v) * avg(v) / (var_pop(v) + 1e-6), 1.0), 64.0) as enl from g group by img)"
 LEE = "m + least(greatest((s2 / (m * m + 1e-6) - 1.0 / enl) / (s2 / (m * m + 1e-6) + 1e-6), 0.0), 1.0) * (v - m)"
 
-_mapped("to_gray01", R.gray01(F.transform(D, lambda v: v * 200.0)), f"s as (select img, y, x, v * 200.0 as v from g) {OUT} (select *, case when max(v) over (partition by img) > 1 then v / max(v) over (partition by img) else v end as o from s)")
-_mapped("intensity_log1p", R.intensity(D, "log1p"), f"s as (select img, y, x, ln(1 + v / 1e-6) as v from g) {OUT} (select *, (v - min(v) over (partition by img)) / (max(v) over (partition by img) - min(v) over (partition by img)) as o from s)")
-_mapped("intensity_db", R.intensity(D, "db"), f"s as (select img, y, x, 10 * log10(v + 1e-6) as v from g) {OUT} (select *, (v - min(v) over (partition by img)) / (max(v) over (partition by img) - min(v) over (partition by img)) as o from s)")
-_mapped("box_mean", R.box_mean(D, H, W, 7), f"{stats_sql(3)} {OUT} (select *, m as o from st)")
-_mapped("box_mean_even", R.box_mean(D, H, W, 2), f"{stats_sql(1)} {OUT} (select *, m as o from st)")
-_mapped("local_variance", F.transform(R.local_stats(D, H, W, 7), lambda s: s["s2"]), f"{stats_sql(3)} {OUT} (select *, s2 as o from st)")
-_mapped("speckle_lee", R.lee(D, H, W, 7), f"{stats_sql(3)}, {ENL} {OUT} (select *, {CLIP.format(LEE)} as o from st join enl using (img))")
+_mapped("to_gray01", lambda: R.gray01(F.transform(D(), lambda v: v * 200.0)), f"s as (select img, y, x, v * 200.0 as v from g) {OUT} (select *, case when max(v) over (partition by img) > 1 then v / max(v) over (partition by img) else v end as o from s)")
+_mapped("intensity_log1p", lambda: R.intensity(D(), "log1p"), f"s as (select img, y, x, ln(1 + v / 1e-6) as v from g) {OUT} (select *, (v - min(v) over (partition by img)) / (max(v) over (partition by img) - min(v) over (partition by img)) as o from s)")
+_mapped("intensity_db", lambda: R.intensity(D(), "db"), f"s as (select img, y, x, 10 * log10(v + 1e-6) as v from g) {OUT} (select *, (v - min(v) over (partition by img)) / (max(v) over (partition by img) - min(v) over (partition by img)) as o from s)")
+_mapped("box_mean", lambda: R.box_mean(D(), H(), W(), 7), f"{stats_sql(3)} {OUT} (select *, m as o from st)")
+_mapped("box_mean_even", lambda: R.box_mean(D(), H(), W(), 2), f"{stats_sql(1)} {OUT} (select *, m as o from st)")
+_mapped("local_variance", lambda: F.transform(R.local_stats(D(), H(), W(), 7), lambda s: s["s2"]), f"{stats_sql(3)} {OUT} (select *, s2 as o from st)")
+_mapped("speckle_lee", lambda: R.lee(D(), H(), W(), 7), f"{stats_sql(3)}, {ENL} {OUT} (select *, {CLIP.format(LEE)} as o from st join enl using (img))")
 GRAD = f"""ng as (select c.img, c.y, c.x, abs(case when c.x = 0 then r.v - c.v when c.x = 7 then c.v - l.v else (r.v - l.v) / 2 end)
       + abs(case when c.y = 0 then d.v - c.v when c.y = 7 then c.v - u.v else (d.v - u.v) / 2 end) as gr
       from g c left join g l on l.img = c.img and l.y = c.y and l.x = c.x - 1 left join g r on r.img = c.img and r.y = c.y and r.x = c.x + 1
@@ -60,24 +72,24 @@ GRAD = f"""ng as (select c.img, c.y, c.x, abs(case when c.x = 0 then r.v - c.v w
     q as (select img, quantile_cont(gr, 0.95) as p, max(gr) as top from ng group by img)"""
 REFINED = f"""{ENL}, {GRAD}, b as (select st.*, enl, case when top > 1e-6 then least(greatest(gr / (p + 1e-6), 0.0), 1.0) else 0.0 end as ed
     from st join enl using (img) join ng using (img, y, x) join q using (img)) {OUT} (select *, {CLIP.format(f"ed * v + (1 - ed) * ({LEE})")} as o from b)"""
-_mapped("speckle_refined_lee", R.refined_lee(D, H, W, 7), f"{stats_sql(3)}, {REFINED}")
-_mapped("speckle_bm3d_fallback", R.refined_lee(D, H, W, 7), f"{stats_sql(3)}, {REFINED}")
+_mapped("speckle_refined_lee", lambda: R.refined_lee(D(), H(), W(), 7), f"{stats_sql(3)}, {REFINED}")
+_mapped("speckle_bm3d_fallback", lambda: R.refined_lee(D(), H(), W(), 7), f"{stats_sql(3)}, {REFINED}")
 _mapped(
     "speckle_gamma_map",
-    R.gamma_map(D, H, W, 7),
+    lambda: R.gamma_map(D(), H(), W(), 7),
     f"""{stats_sql(3)}, {ENL}, a as (select *, s2 / (m * m + 1e-6) as ci, 1.0 / enl as cu from st join enl using (img)),
     b as (select *, (1 + cu) / greatest(ci - cu, 1e-6) as al from a), c as (select *, al - enl - 1 as bb from b)
     {OUT} (select *, {CLIP.format("case when ci > cu * 6 then v when ci > cu then (bb * m + sqrt(greatest(bb * bb * m * m + 4 * al * enl * m * v, 0.0))) / (2 * al + 1e-6) else m end")} as o from c)""",
 )
 _mapped(
     "speckle_frost",
-    R.frost(D, H, W, 3, 2.0),
+    lambda: R.frost(D(), H(), W(), 3, 2.0),
     f"""{stats_sql(1)}, f as (select win.img, win.y, win.x, sum(exp(-2.0 * s2 / (m * m + 1e-6) * sqrt(dy * dy + dx * dx)) * nv) / (sum(exp(-2.0 * s2 / (m * m + 1e-6) * sqrt(dy * dy + dx * dx))) + 1e-6) as o
     from win join st using (img, y, x) group by win.img, win.y, win.x) {OUT} (select *, o as oo from f)""",
 )
 _mapped(
     "outlier_clip",
-    R.clip_outliers(D, 0.2, 99.8),
+    lambda: R.clip_outliers(D(), 0.2, 99.8),
     f"""q as (select img, quantile_cont(v, 0.002) as lo, quantile_cont(v, 0.998) as hi from g where v > 0 group by img)
     {OUT} (select *, case when hi - lo < 1e-6 then v else {CLIP.format("(v - lo) / (hi - lo)")} end as o from g join q using (img))""",
 )
@@ -93,7 +105,7 @@ def tone_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _mapped(
     "histogram_map",
-    R.map_histogram(D, 64, R.tone_curve(64)),
+    lambda: R.map_histogram(D(), 64, R.tone_curve(64)),
     f"""{TONE.format(n=63, m=64)}, hb as (select img, least(floor(v * 64), 63)::int as b, count(*) as c from g group by 1, 2),
     dense as (select i.img, r.range::int as b, coalesce(c, 0) as c from (select distinct img from g) i cross join range(64) r left join hb on hb.img = i.img and hb.b = r.range),
     cdf as (select img, b, sum(c) over (partition by img order by b) / (sum(c) over (partition by img) + 1e-6) as p from dense),
@@ -104,18 +116,18 @@ _mapped(
            from rk left join sg on p >= y0 and p < y1)
     {OUT} (select *, o as oo from mp)""",
 )
-_mapped("normalize_u8", R.to_u8(D), f"s as (select * from g) {OUT} (select *, trunc(least(greatest(v, 0.0), 1.0) * 255) as o from s)")
-_mapped("laplacian_map", R.laplacian(D, H, W), window_sql("win", "g", 1) + f", l as (select img, y, x, sum(case when abs(dy) + abs(dx) = 1 then nv when dy = 0 and dx = 0 then -4 * nv else 0 end) as o from win group by img, y, x) {OUT} (select *, o as oo from l)")
+_mapped("normalize_u8", lambda: R.to_u8(D()), f"s as (select * from g) {OUT} (select *, trunc(least(greatest(v, 0.0), 1.0) * 255) as o from s)")
+_mapped("laplacian_map", lambda: R.laplacian(D(), H(), W()), window_sql("win", "g", 1) + f", l as (select img, y, x, sum(case when abs(dy) + abs(dx) = 1 then nv when dy = 0 and dx = 0 then -4 * nv else 0 end) as o from win group by img, y, x) {OUT} (select *, o as oo from l)")
 SAL = window_sql("wz", "g", 2, pad="zero") + """, con as (select img, y, x, greatest(any_value(v) - sum(nv) / 25, 0.0) as c from wz group by img, y, x),
     qs as (select img, greatest(quantile_cont(c, 0.995), 1e-5) as top from con group by img), sal as (select img, y, x, 1 + 3.0 * least(greatest(c / top, 0.0), 1.0) as wt from con join qs using (img))"""
-_mapped("saliency_map", R.saliency(D, H, W), f"{SAL} {OUT} (select *, wt as o from sal)")
+_mapped("saliency_map", lambda: R.saliency(D(), H(), W()), f"{SAL} {OUT} (select *, wt as o from sal)")
 SHARP = window_sql("w3", "g", 1) + """, sob as (select img, y, x, sum(nv * (case dx when -1 then -1 when 1 then 1 else 0 end) * (case dy when 0 then 2 else 1 end)) as gx,
       sum(nv * (case dy when -1 then -1 when 1 then 1 else 0 end) * (case dx when 0 then 2 else 1 end)) as gy from w3 group by img, y, x),
     sj as (select a.img, a.y, a.x, sum(b.gx * b.gx) / 25 as xx, sum(b.gy * b.gy) / 25 as yy, sum(b.gx * b.gy) / 25 as xy
       from sob a join sob b on a.img = b.img and abs(a.y - b.y) <= 2 and abs(a.x - b.x) <= 2 group by a.img, a.y, a.x),
     shp as (select img, y, x, least(greatest((xx + yy) / (xx + yy + 1.0), 0.0), 1.0) * least(greatest(sqrt((xx - yy) * (xx - yy) + 4 * xy * xy + 1e-12) / (xx + yy + 1e-5), 0.0), 1.0) as sh from sj)"""
-_mapped("sharpness_map", R.sharpness(D, H, W), f"{SHARP} {OUT} (select *, sh as o from shp)")
-_mapped("flip_horizontal", R.pixels(H, W, lambda y, x, i: F.get(D, y * W + (W - 1 - x))), f"s as (select img, y, 7 - x as x, v from g) {OUT} (select *, v as o from s)")
+_mapped("sharpness_map", lambda: R.sharpness(D(), H(), W()), f"{SHARP} {OUT} (select *, sh as o from shp)")
+_mapped("flip_horizontal", lambda: R.pixels(H(), W(), lambda y, x, i: F.get(D(), y * W() + (W() - 1 - x))), f"s as (select img, y, 7 - x as x, v from g) {OUT} (select *, v as o from s)")
 
 
 @query("crop_center", f"with {GRIDS_SQL} select img, y - 2 as y, x - 2 as x, round(v, 6) + 0.0 as v from g where y between 2 and 5 and x between 2 and 5")
@@ -133,7 +145,7 @@ def side_by_side(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bad_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """grids with planted NaN (img % 7 = 0), infinities (img % 11 = 0) and constant images (img % 13 = 0)."""
     img = F.col("img")
-    data = F.transform(D, lambda v, i: F.when((img % 7 == 0) & (i == 3), float("nan")).when((img % 11 == 0) & (i == 5), float("inf")).when(img % 13 == 0, 0.25).otherwise(v))
+    data = F.transform(D(), lambda v, i: F.when((img % 7 == 0) & (i == 3), float("nan")).when((img % 11 == 0) & (i == 5), float("inf")).when(img % 13 == 0, 0.25).otherwise(v))
     return grids(spark, sf_dir).withColumn("data", data)
 
 
@@ -147,22 +159,22 @@ BAD = f"""with {GRIDS_SQL}, b0 as (select img, y, x, y * 8 + x as i, v from g),
 @query("nan_guard", BAD + " select img, y, x, v from f where v < 2")
 def nan_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pixels after validation, without those that became the largest float."""
-    rows = bad_grids(spark, sf_dir).select("img", "w", R.validated(D).alias("data")).select("img", "w", F.posexplode("data").alias("i", "v"))
+    rows = bad_grids(spark, sf_dir).select("img", "w", R.validated(D()).alias("data")).select("img", "w", F.posexplode("data").alias("i", "v"))
     return rows.where("v < 2").select("img", F.floor(F.col("i") / F.col("w")).cast("int").alias("y"), (F.col("i") % F.col("w")).alias("x"), "v")
 
 
 @query("validate_status", BAD + ", z as (select img, case when sqrt(greatest(avg(v * v) - avg(v) * avg(v), 0)) < 1e-6 then 'skipped' else 'success' end as status from f where img % 7 <> 0 group by img) select status, count(*) as n from z group by status")
 def validate_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    status = F.when(R.is_constant(R.validated(D)), "skipped").otherwise("success")
+    status = F.when(R.is_constant(R.validated(D())), "skipped").otherwise("success")
     return bad_grids(spark, sf_dir).where("img % 7 <> 0").groupBy(status.alias("status")).agg(F.count("*").alias("n"))
 
 
 def quality(images: DataFrame) -> DataFrame:
     """img and its six quality metrics."""
-    both = F.struct(mean(D).alias("m"), F.sqrt(variance(D)).alias("s"))
+    both = F.struct(mean(D()).alias("m"), F.sqrt(variance(D())).alias("s"))
     rows = images.withColumn("q", let(both, lambda q: F.struct(q["m"].alias("mean"), q["s"].alias("std"), (q["s"] / (q["m"] + 1e-8)).alias("speckle_index"), (q["m"] * q["m"] / (q["s"] * q["s"] + 1e-8)).alias("enl"))))
-    change = (mean(F.transform(R.differences(D, H, W, 1), F.abs)) + mean(F.transform(R.differences(D, H, W, 0), F.abs))) / 2.0
-    return rows.select("img", "q.*", change.alias("avg_gradient"), R.entropy(D).alias("entropy"))
+    change = (mean(F.transform(R.differences(D(), H(), W(), 1), F.abs)) + mean(F.transform(R.differences(D(), H(), W(), 0), F.abs))) / 2.0
+    return rows.select("img", "q.*", change.alias("avg_gradient"), R.entropy(D()).alias("entropy"))
 
 
 METRICS = ("mean", "std", "speckle_index", "enl", "avg_gradient", "entropy")
@@ -198,8 +210,8 @@ def dataset_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def output_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     ps = {"p01": 1, "p50": 50, "p99": 99, "p998": 99.8}
-    zero = F.size(F.filter(D, lambda v: v <= 1e-4)) / F.size(D)
-    return grids(spark, sf_dir).select("img", *[F.round(percentile(D, p), 3).alias(n) for n, p in ps.items()], F.round(zero, 4).alias("zero_ratio"))
+    zero = F.size(F.filter(D(), lambda v: v <= 1e-4)) / F.size(D())
+    return grids(spark, sf_dir).select("img", *[F.round(percentile(D(), p), 3).alias(n) for n, p in ps.items()], F.round(zero, 4).alias("zero_ratio"))
 
 
 @query(
@@ -224,7 +236,14 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return side(0, "a").join(side(1, "b").drop("h", "w"), "pair")
 
 
-A, B = F.col("a"), F.col("b")
+def A() -> Column:
+    return F.col("a")
+
+
+def B() -> Column:
+    return F.col("b")
+
+
 PAIR = f"""with {GRIDS_SQL}, {window_sql("win", "g", 1)},
     lp as (select img, y, x, any_value(v) as v, sum(case when abs(dy) + abs(dx) = 1 then nv when dy = 0 and dx = 0 then -4 * nv else 0 end) as l from win group by img, y, x),
     pr as (select a.img // 2 as pair, a.y, a.x, a.v as a, b.v as b, a.l as la, b.l as lb from lp a join lp b on b.img = a.img + 1 and a.img % 2 = 0 and a.y = b.y and a.x = b.x),
@@ -235,7 +254,7 @@ PAIR = f"""with {GRIDS_SQL}, {window_sql("win", "g", 1)},
 
 
 def pair_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs(spark, sf_dir).select("pair", R.psnr(A, B).alias("psnr"), R.correlation(A, B).alias("cc"), R.edge_preservation(A, B, H, W).alias("epi"))
+    return pairs(spark, sf_dir).select("pair", R.psnr(A(), B()).alias("psnr"), R.correlation(A(), B()).alias("cc"), R.edge_preservation(A(), B(), H(), W()).alias("epi"))
 
 
 @query("pair_metrics", PAIR + " select pair, round(psnr, 6) as psnr, round(cc, 6) as cc, round(epi, 6) as epi, round((epi + cc + psnr / 40) / 3, 6) as composite from pm")
@@ -259,7 +278,7 @@ def structure_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     select img as pair, round(avg((2 * mx * my + 1e-4) * (2 * (xy - mx * my) + 9e-4) / ((mx * mx + my * my + 1e-4) * ((xx - mx * mx) + (yy - my * my) + 9e-4) + 1e-8)), 6) as ssim from st group by img""",
 )
 def pair_ssim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs(spark, sf_dir).select("pair", r6(R.ssim(A, B, H, W, 7)).alias("ssim"))
+    return pairs(spark, sf_dir).select("pair", r6(R.ssim(A(), B(), H(), W(), 7)).alias("ssim"))
 
 
 DIFFS = f"""with {GRIDS_SQL}, d as (select img, y, x, v, lead(v) over (partition by img, y order by x) - v as dx, lead(v) over (partition by img, x order by y) - v as dy from g)"""
@@ -268,26 +287,26 @@ DIFFS = f"""with {GRIDS_SQL}, d as (select img, y, x, v, lead(v) over (partition
 @query("grad_loss", DIFFS + " select a.img // 2 as pair, round(avg(abs(a.dx - b.dx)) + avg(abs(a.dy - b.dy)), 6) as loss from d a join d b on b.img = a.img + 1 and a.img % 2 = 0 and a.y = b.y and a.x = b.x group by 1")
 def grad_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     def part(axis: int) -> Column:
-        return mean(F.zip_with(R.differences(A, H, W, axis), R.differences(B, H, W, axis), lambda p, q: F.abs(p - q)))
+        return mean(F.zip_with(R.differences(A(), H(), W(), axis), R.differences(B(), H(), W(), axis), lambda p, q: F.abs(p - q)))
 
     return pairs(spark, sf_dir).select("pair", r6(part(1) + part(0)).alias("loss"))
 
 
 @query("lap_loss", PAIR + " select pair, round(avg(abs(la - lb)), 6) as loss from pr group by pair")
 def lap_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs(spark, sf_dir).select("pair", r6(mean(F.zip_with(R.laplacian(A, H, W), R.laplacian(B, H, W), lambda p, q: F.abs(p - q)))).alias("loss"))
+    return pairs(spark, sf_dir).select("pair", r6(mean(F.zip_with(R.laplacian(A(), H(), W()), R.laplacian(B(), H(), W()), lambda p, q: F.abs(p - q)))).alias("loss"))
 
 
 @query("coherence_loss", f"with {GRIDS_SQL}, {SAL}, {SHARP} select s.img // 2 as pair, round(avg((1 - sh) * wt), 6) as loss from sal s join shp on shp.img = s.img + 1 and s.img % 2 = 0 and s.y = shp.y and s.x = shp.x group by 1")
 def coherence_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How little the generated image (b) is sharp where the source (a) shines."""
-    loss = mean(F.zip_with(R.sharpness(B, H, W), R.saliency(A, H, W), lambda s, wt: (1.0 - s) * wt))
+    loss = mean(F.zip_with(R.sharpness(B(), H(), W()), R.saliency(A(), H(), W()), lambda s, wt: (1.0 - s) * wt))
     return pairs(spark, sf_dir).select("pair", r6(loss).alias("loss"))
 
 
 @query("l1_loss", PAIR + " select pair, round(avg(abs(a - b)), 6) as loss from pr group by pair")
 def l1_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs(spark, sf_dir).select("pair", r6(mean(F.zip_with(A, B, lambda p, q: F.abs(p - q)))).alias("loss"))
+    return pairs(spark, sf_dir).select("pair", r6(mean(F.zip_with(A(), B(), lambda p, q: F.abs(p - q)))).alias("loss"))
 
 
 @query(
@@ -298,7 +317,7 @@ def l1_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
 def color_moment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three consecutive images are the channels of one; images 2k and 2k + 1 of these are a pair."""
     img = F.col("img")
-    rows = grids(spark, sf_dir).select(F.floor(img / 6).alias("pair"), F.floor(img / 3) % 2, (img % 3).alias("c"), mean(D).alias("m"), F.sqrt(variance(D) + 1e-5).alias("s")).toDF("pair", "side", "c", "m", "s")
+    rows = grids(spark, sf_dir).select(F.floor(img / 6).alias("pair"), F.floor(img / 3) % 2, (img % 3).alias("c"), mean(D()).alias("m"), F.sqrt(variance(D()) + 1e-5).alias("s")).toDF("pair", "side", "c", "m", "s")
     side = lambda k, n: rows.where(F.col("side") == k).select("pair", "c", F.col("m").alias(f"m{n}"), F.col("s").alias(f"s{n}"))
     both = side(0, "a").join(side(1, "b"), ["pair", "c"])
     return both.groupBy("pair").agg(r6(F.avg(F.abs(F.col("ma") - F.col("mb"))) + F.avg(F.abs(F.col("sa") - F.col("sb")))).alias("loss"))
@@ -335,9 +354,22 @@ def otsu_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
         return -F.array_max(F.transform(F.sequence(F.lit(0), F.lit(255)), at))["t"]
 
-    return grids(spark, sf_dir).select("img", let(R.to_u8(D), of).alias("threshold"))
+    return grids(spark, sf_dir).select("img", let(R.to_u8(D()), of).alias("threshold"))
 
 
 @query("array_summary", f"with {GRIDS_SQL} select img, round(avg(v), 6) as mean, min(v) as low, max(v) as high, round(quantile_cont(v, 0.5), 6) as median, round(stddev_pop(v), 6) as std from g group by img")
 def array_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grids(spark, sf_dir).select("img", r6(mean(D)).alias("mean"), F.array_min(D).alias("low"), F.array_max(D).alias("high"), r6(percentile(D, 50)).alias("median"), r6(F.sqrt(variance(D))).alias("std"))
+    return grids(spark, sf_dir).select("img", r6(mean(D())).alias("mean"), F.array_min(D()).alias("low"), F.array_max(D()).alias("high"), r6(percentile(D(), 50)).alias("median"), r6(F.sqrt(variance(D()))).alias("std"))
+
+
+@query("pipeline_manifest")
+def pipeline_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The default pipeline over grids with planted bad images, as its manifest."""
+    from ..operators import pipeline
+
+    return pipeline.manifest(pipeline.run(bad_grids(spark, sf_dir), pipeline.default_spec(size=16)))
+
+
+@query("pipeline_status", f"""{BAD}, z as (select img, any_value(img % 7 <> 0 and (img % 13 = 0 or img % 11 = 0)) as c from b group by img) select case when c then 'skipped' else 'success' end as status, count(*) as n from z group by 1""")
+def pipeline_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pipeline_manifest(spark, sf_dir).groupBy("status").agg(F.count("*").alias("n"))
