@@ -44,7 +44,7 @@ from .graph import components
 #: Words of a shingle and percent of similarity where no contract says otherwise.
 WORDS, PERCENT = 5, 80
 #: The frequency sketch has 2**SKETCH_BITS counters, sent in blocks of 2**BLOCK_BITS.
-SKETCH_BITS, BLOCK_BITS = 21, 14
+SKETCH_BITS, BLOCK_BITS = 22, 14
 #: Odd multipliers; each permutes the hashes into one more global order.
 ORDERS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _MIX = [np.uint64(x) for x in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x9FB21C651E98DF25, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
@@ -199,8 +199,8 @@ def classes(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFram
     shared = index.groupBy("token").agg(F.count("*").alias("c"), F.max("short").alias("s")).where("c > 1 and s").select("token")
     index = scratch.save(index.join(sized(scratch.save(shared, "shared")), "token"), "index")
     low = F.min(F.when(F.col("short"), F.struct("pos", "n", "id"))).alias("low")
-    pivots = index.groupBy("token").agg(low, F.min("id").alias("x"), F.max("id").alias("y")).where("low is not null and x < y")
-    pivots = scratch.save(pivots.select("token", *[F.col(f"low.{c}").alias(f"p_{c}") for c in ("id", "n", "pos")]), "pivots")
+    pivots = index.groupBy("token").agg(low, F.count("*").alias("c"), F.min("id").alias("x"), F.max("id").alias("y")).where("low is not null and x < y")
+    pivots = scratch.save(pivots.select("token", "c", *[F.col(f"low.{c}").alias(f"p_{c}") for c in ("id", "n", "pos")]), "pivots")
     seen, links = None, None
 
     def compare(pairs: DataFrame, name: str) -> None:
@@ -219,6 +219,8 @@ def classes(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFram
 
     star = (F.col("id") != F.col("p_id")) & _possible("", "p_", percent)
     compare(index.join(pivots, "token").where(star).select(F.col("p_id").alias("a"), F.col("id").alias("b")), "pivot")
+    # two classes that share a token have been compared; only larger groups go on
+    index = scratch.save(index.join(sized(pivots.where("c > 2").select("token")), "token", "left_semi"), "deep")
     for turn in ("other", "rest"):
         comps = scratch.save(components(links, scratch, f"cc-{turn}"), f"comps-{turn}")
         placed = index.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
@@ -243,7 +245,7 @@ def classes(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFram
     comps = scratch.save(components(links, scratch, "cc"), "comps")
     named = named.withColumnRenamed("id", "rep").join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("h1", "h2", "n", F.coalesce("comp", "rep").alias("comp"))
     named = scratch.save(named, "class-components")
-    scratch.drop("named", "others", "shared", "index", "pivots", "mixed", "mixed-other", "second", "comps")
+    scratch.drop("named", "others", "shared", "index", "pivots", "deep", "mixed", "mixed-other", "second", "comps")
     scratch.drop(*[f"{what}-{turn}" for what in ("pairs", "links", "split", "comps") for turn in ("pivot", "other", "rest")])
     out = rows.select("doc_id", "n", "h1", "h2").join(named, ["h1", "h2", "n"], "left")
     found = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
@@ -265,3 +267,16 @@ def keep_one(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFra
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents"), 4, 85)
+
+
+ORACLE = {
+    "op9_jaccard_join": r"""
+    with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+    d as (select doc_id, case when len(ws) = 0 then [] when len(ws) < 4 then [array_to_string(ws, ' ')] else list_distinct([array_to_string(ws[i:i + 3], ' ') for i in range(1, len(ws) - 2)]) end as sh from w),
+    s as (select doc_id, unnest(sh) as sh, len(sh) as n from d),
+    p as (select a.doc_id as x, b.doc_id as y, any_value(a.n) as nx, any_value(b.n) as ny, count(*) as k from s a join s b on a.sh = b.sh and a.doc_id < b.doc_id group by 1, 2),
+    l as (select x, y from p where 100 * k >= 85 * (nx + ny - k)), e as (select x, y from l union all select y, x from l),
+    r(doc_id, root) as (select doc_id, doc_id from d union select e.y, r.root from r join e on e.x = r.doc_id)
+    select d.doc_id, any_value(len(sh)) as n_shingles, min(root) as component_id from d join r on r.doc_id = d.doc_id group by d.doc_id
+    """
+}
