@@ -174,3 +174,19 @@ def dedup(docs: DataFrame) -> DataFrame:
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select("row.*", "n_lines", "n_removed")
+
+
+ORACLE = {
+    "op8_line_dedup": r"""
+    with t as (select doc_id, text, string_split(text, chr(10)) as ls from documents),
+    ln as (select doc_id, i as pos, trim(ls[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as b from t, unnest(range(1, len(ls) + 1)) u(i)),
+    k as (select *, len(string_split(b, ' ')) as n from ln where b <> '' and len(string_split(b, ' ')) >= 3),
+    f as (select b, any_value(n) as n, min((doc_id, pos)) as fst from k group by b),
+    h as (select b, n, fst, string_split(b, ' ') as ws from f where n >= 10),
+    g as (select b, fst, n - 1 as m, i, hash(ws[1:i - 1]) as p, hash(ws[i + 1:]) as q from h, unnest(range(1, n + 1)) u(i) union all select b, fst, n, i, hash(ws[1:i - 1]), hash(ws[i:]) from h, unnest(range(1, n + 2)) u(i)),
+    e as (select m, i, p, q, min(fst) as first from g group by all having count(*) > 1), near as (select distinct b from g join e using (m, i, p, q) where g.fst <> e.first),
+    gone as (select doc_id, pos from k join f using (b) where (doc_id, pos) <> f.fst or b in (select b from near)),
+    kept as (select doc_id, count(*) as n_kept, string_agg(l, chr(10) order by pos) as new from (select doc_id, i as pos, ls[i] as l from t, unnest(range(1, len(ls) + 1)) u(i)) a where not exists (select 1 from gone g where g.doc_id = a.doc_id and g.pos = a.pos) group by doc_id)
+    select t.doc_id, case when text is null then null else coalesce(new, '') end as text, coalesce(len(ls), 0) as n_lines, coalesce(len(ls), 0) - coalesce(n_kept, 0) as n_removed from t left join kept using (doc_id)
+    """
+}

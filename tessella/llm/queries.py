@@ -18,7 +18,7 @@ MODULES = {
     "op7_quality_rules": "quality_rules",
 }
 #: Modules with an ``ORACLE`` dict of query name -> DuckDB SQL.
-ORACLES = ("topk_search",)
+ORACLES = ("topk_search", "line_dedup", "jaccard_join")
 
 
 def queries() -> dict:
