@@ -190,3 +190,38 @@ def test_driver_contract(spark):
     names, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(names) and len(names) >= 100
     assert entry.entry(spark).count() == 2
+
+
+def test_regions():
+    from tessella.operators import regions
+
+    u = np.zeros((60, 80), int)
+    u[5:15, 10:40] = 200
+    yy, xx = np.mgrid[:60, :80]
+    u[(yy - 40) ** 2 + (xx - 20) ** 2 <= 100] = 180  # a disc is no rectangle
+    t = np.radians(30)
+    a, b = (xx - 60) * np.cos(t) + (yy - 42) * np.sin(t), -(xx - 60) * np.sin(t) + (yy - 42) * np.cos(t)
+    u[(abs(a) <= 14) & (abs(b) <= 6)] = 220
+    u[0, 79] = 255  # too small
+    found = regions.regions_of(u)
+    assert len(found) == 2
+    assert (found[0]["cx"], found[0]["cy"], found[0]["area"], found[0]["rectangularity"]) == (25.0, 10.0, 300, 1.0)
+    assert sorted((found[0]["width"], found[0]["height"])) == [10.0, 30.0]
+    assert min(abs(found[1]["angle_deg"] - x) for x in (30, 120)) < 4 and found[1]["rectangularity"] > 0.85
+    assert regions.regions_of(np.zeros((9, 9), int)) == []
+
+
+def test_otsu_and_parts_by_brute_force():
+    from tessella.operators import regions
+
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        u = rng.integers(0, 256, (9, 11))
+        spread = lambda t, u=u: 0.0 if not (u <= t).any() or not (u > t).any() else (u <= t).sum() * (u > t).sum() * (u[u <= t].mean() - u[u > t].mean()) ** 2
+        assert spread(regions.otsu(u)) == pytest.approx(max(map(spread, range(256))))
+        mask, label = u > 140, regions.labelled(u > 140)
+        assert ((label > 0) == mask).all()
+        for y, x in np.argwhere(mask):
+            near = label[max(0, y - 1) : y + 2, max(0, x - 1) : x + 2]
+            assert set(near[near > 0]) == {label[y, x]}
+        assert len(set(label[mask])) == label.max()
