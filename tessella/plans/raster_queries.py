@@ -373,3 +373,27 @@ def pipeline_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("pipeline_status", f"""{BAD}, z as (select img, any_value(img % 7 <> 0 and (img % 13 = 0 or img % 11 = 0)) as c from b group by img) select case when c then 'skipped' else 'success' end as status, count(*) as n from z group by 1""")
 def pipeline_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipeline_manifest(spark, sf_dir).groupBy("status").agg(F.count("*").alias("n"))
+
+
+def _fast(name: str, step: str, **params) -> None:
+    """The numpy plan of a step that has an expression plan, held to the same equivalent."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from ..operators import pipeline
+
+        out = pipeline.run(grids(spark, sf_dir), [{"name": step, "params": params}])
+        return tall(out.select("img", F.col("out_w").alias("w"), "data"))
+
+    QUERIES[f"fast_{name}"] = run
+    ORACLE[f"fast_{name}"] = ORACLE[name]
+
+
+_fast("intensity_log1p", "sar_intensity_transform", mode="log1p")
+_fast("intensity_db", "sar_intensity_transform", mode="db")
+_fast("speckle_lee", "speckle_filter", method="lee", window_size=7)
+_fast("speckle_refined_lee", "speckle_filter", method="refined_lee", window_size=7)
+_fast("speckle_bm3d_fallback", "speckle_filter", method="bm3d")
+_fast("speckle_gamma_map", "speckle_filter", method="gamma_map", window_size=7)
+_fast("speckle_frost", "speckle_filter", method="frost", window_size=3)
+_fast("outlier_clip", "outlier_clipping")
+_fast("histogram_map", "histogram_mapping", bins=64)
