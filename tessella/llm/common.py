@@ -12,6 +12,21 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 2_000_000
 
 
+#: Rows and bytes of an Arrow batch of whole texts: what a Python worker holds at once.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """df, with its session's Arrow batches bounded for rows that hold whole texts or token sets.
+
+    The default of 10,000 rows would put gigabytes of long texts into one batch.
+    """
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(min(BATCH_ROWS, int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")))))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

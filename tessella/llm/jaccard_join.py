@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from .common import Scratch, sized, table
+from .common import Scratch, sized, table, text_batches
 from .graph import components
 
 #: Words of a shingle and percent of similarity where no contract says otherwise.
@@ -100,7 +100,7 @@ def frequencies(docs: DataFrame, k: int) -> np.ndarray:
         return pa.table({"block": rows["block"][:1], "salt": rows["salt"][:1], "data": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
     kind = "block int, salt int, data binary"
-    parts = docs.select("text").mapInArrow(count, kind).groupBy("block", "salt").applyInArrow(add, kind)
+    parts = text_batches(docs).select("text").mapInArrow(count, kind).groupBy("block", "salt").applyInArrow(add, kind)
     out = np.zeros(size, np.uint64)
     for row in parts.groupBy("block").applyInArrow(add, kind).collect():
         out[row["block"] * block : (row["block"] + 1) * block] = np.frombuffer(zlib.decompress(row["data"]), np.uint64)
@@ -125,7 +125,7 @@ def prefixes(docs: DataFrame, k: int, percent: int, rank: np.ndarray) -> DataFra
                 names=["doc_id", "n", "h1", "h2", "prefix"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, h1 long, h2 long, prefix array<long>")
+    return text_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, n long, h1 long, h2 long, prefix array<long>")
 
 
 def whole_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -136,7 +136,7 @@ def whole_sets(docs: DataFrame, k: int) -> DataFrame:
             sets = [shingles(t, k) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists(sets)], names=["id", "tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "id long, tokens array<long>")
+    return text_batches(docs).select("doc_id", "text").mapInArrow(run, "id long, tokens array<long>")
 
 
 def _views(column: pa.Array) -> list[np.ndarray]:
@@ -169,7 +169,7 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep = [i for i, (x, y) in enumerate(tokens) if similar(x, y, percent)]
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    return both.mapInArrow(run, "a long, b long")
+    return text_batches(both).mapInArrow(run, "a long, b long")
 
 
 def _short_prefix(n: Column, percent: int) -> Column:

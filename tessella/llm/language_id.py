@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, once, table
+from .common import crc_mod, once, table, text_batches
 
 #: Bound of the labelled sample that is fitted.
 SAMPLE = 6_000
@@ -142,7 +142,7 @@ def fit(docs: DataFrame, keep=None) -> Model:
                 names=["doc_id", "lang", "at", "n"],
             )
 
-    out = found.mapInArrow(brief, "doc_id long, lang string, at array<int>, n array<int>").where("at is not null").toArrow().to_pylist()
+    out = text_batches(found).mapInArrow(brief, "doc_id long, lang string, at array<int>, n array<int>").where("at is not null").toArrow().to_pylist()
     out.sort(key=lambda r: (r["doc_id"] * 2654435761 % 4294967296, r["doc_id"], r["lang"]))
     return learn_counts([(np.array(r["at"], np.int64), np.array(r["n"], np.int64)) for r in out], [r["lang"] for r in out])
 
@@ -154,7 +154,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             cols = [pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.string(), pa.float64()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], names=["doc_id", "held_out", "lang_pred", "score"])
 
-    return docs.select("doc_id", "held_out", "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return text_batches(docs).select("doc_id", "held_out", "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import crc_mod, labelled_ids, once, table
+from .common import crc_mod, labelled_ids, once, table, text_batches
 
 #: Bound of the labelled sample that is fitted.
 LABELLED = 8_000
@@ -161,7 +161,7 @@ def indicators(docs: DataFrame) -> DataFrame:
             at = [find(t).astype(np.int32) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at, pa.list_(pa.int32()))], names=["doc_id", "label", "at"])
 
-    return docs.select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, at array<int>")
+    return text_batches(docs).select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, at array<int>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, keep=None) -> Model:
@@ -183,7 +183,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             found = pa.array([model.score(find(t)) for t in batch.column(2).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found], names=["doc_id", "held_out", "score"])
 
-    return docs.select("doc_id", "held_out", "text").mapInArrow(run, "doc_id long, held_out boolean, score double")
+    return text_batches(docs).select("doc_id", "held_out", "text").mapInArrow(run, "doc_id long, held_out boolean, score double")
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, text_batches
 
 _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.A | re.I)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -118,7 +118,7 @@ def scan(docs: DataFrame) -> DataFrame:
             cols = [batch.column(0), *(zip(*found, strict=True) if found else [[]] * 5)]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) if k else c for k, (c, f) in enumerate(zip(cols, _SCHEMA, strict=True))], schema=_SCHEMA)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _FOUND)
+    return text_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _FOUND)
 
 
 def redact_text(text: str, mark: str = "[SECRET]") -> str:
@@ -142,7 +142,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
             new = [None if t is None else redact_text(t, mark) for t in batch.column(at).to_pylist()]
             yield batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = text_batches(docs).mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
 
 

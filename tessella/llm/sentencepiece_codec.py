@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, text_batches
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -244,7 +244,7 @@ def decode(rows: DataFrame, path: str | None = None) -> DataFrame:
             texts = [codec.decode(ids or []) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return rows.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return text_batches(rows).select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
 def digest(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -269,7 +269,7 @@ def _mapped(docs: DataFrame, path: str, schema: str, columns) -> DataFrame:
                 made = [pa.array([len(i) for i in ids], pa.int64()), pa.array([int(is_byte[i].sum()) for i in ids], pa.int64()), pa.array([zlib.crc32(p) for p in packed], pa.int64()), pa.array(back, pa.bool_())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=[f.split()[0] for f in schema.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return text_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
