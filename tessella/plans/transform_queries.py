@@ -241,3 +241,117 @@ def bright_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import regions
 
     return regions.find(grids(spark, sf_dir), min_area=2, max_share=0.5, rectangular=0.5).drop("polygon")
+
+
+@query(
+    "object_boxes",
+    f"""with {SIZES}, b as (select *, (w // 3) as x, (h // 4) as y, (w // 2) as bw, (h // 2) as bh from sz)
+    select id, trunc(greatest(0, x - bw * 0.25::double))::int as x1, trunc(least(w, x + bw * 1.25::double))::int as x2, trunc(greatest(0, y - bh * 0.25::double))::int as y1, trunc(least(h, y + bh * 1.25::double))::int as y2 from b""",
+)
+def object_boxes(spark: SparkSession, sf_dir: str, border: float = 0.25) -> DataFrame:
+    """Found boxes with a border around them, kept within the image."""
+    part = lambda c, n: F.floor(F.col(c) / n)
+    rows = sizes(spark, sf_dir).select("*", part("w", 3).alias("x"), part("h", 4).alias("y"), part("w", 2).alias("bw"), part("h", 2).alias("bh"))
+    low = lambda at, size: F.floor(F.greatest(F.lit(0.0), F.col(at) - F.col(size) * border)).cast("int")
+    high = lambda at, size, end: F.floor(F.least(F.col(end).cast("double"), F.col(at) + F.col(size) * (1 + border))).cast("int")
+    return rows.select("id", low("x", "bw").alias("x1"), high("x", "bw", "w").alias("x2"), low("y", "bh").alias("y1"), high("y", "bh", "h").alias("y2"))
+
+
+@query(
+    "single_image_crops",
+    f"""with n as (select range as id from range(2000)), m as (select id, id // 16 as batch from n)
+    select m.id, round(0.25::double + 0.75 * (('0x' || substr(md5((batch)::varchar || ':zx'), 1, 7))::bigint / 268435456.0), 6) as zoom_x, round(0.25::double + 0.75 * (('0x' || substr(md5((batch)::varchar || ':zy'), 1, 7))::bigint / 268435456.0), 6) as zoom_y,
+      (row_number() over (order by md5(m.id || ':a'), m.id) - 1)::bigint as patch_a, (row_number() over (order by md5(m.id || ':b'), m.id) - 1)::bigint as patch_b from m""",
+)
+def single_image_crops(spark: SparkSession, sf_dir: str, n: int = 2000, batch: int = 16, most: float = 4.0) -> DataFrame:
+    """Zoom (equal within a minibatch) and two permutations of patch numbers for training on one image."""
+    from .curation_queries import numbered
+
+    zoom = lambda name: F.round(1 / most + (1 - 1 / most) * (F.conv(F.substring(F.md5(F.concat(F.floor(F.col("id") / batch).cast("string"), F.lit(f":{name}"))), 1, 7), 16, 10).cast("long") / 268435456.0), 6)
+    rows = spark.range(n)
+    out = rows.select("id", zoom("zx").alias("zoom_x"), zoom("zy").alias("zoom_y"))
+    for side in ("a", "b"):
+        keyed = rows.withColumn("key", F.md5(F.concat(F.col("id").cast("string"), F.lit(f":{side}"))))
+        out = out.join(numbered(keyed, "key", "id", name=f"patch_{side}").select("id", F.col(f"patch_{side}").cast("long").alias(f"patch_{side}")), "id")
+    return out
+
+
+@query(
+    "ema_features",
+    """with f as (select label::int as label, row_number() over (partition by label order by vec_id) as k, count(*) over (partition by label) as n, unnest(embedding)::double as v, (generate_subscripts(embedding, 1) - 1)::int as i from embeddings)
+    select label, i, round(sum(0.001::double * pow(0.999, n - k) * v), 6) + 0.0 as ema from f group by 1, 2""",
+)
+def ema_features(spark: SparkSession, sf_dir: str, keep: float = 0.999) -> DataFrame:
+    """Exponential moving average of a label's vectors in id order, in closed form: a sum that is pre-aggregated."""
+    from pyspark.sql import Window
+
+    rows = table(spark, sf_dir, "embeddings").select(F.col("label").cast("int").alias("label"), "vec_id", "embedding")
+    place = rows.select("label", "vec_id").withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")))
+    last = place.groupBy("label").agg(F.max("k").alias("n"))
+    weighed = rows.join(place, ["label", "vec_id"]).join(last, "label").select("label", ((1 - keep) * F.pow(F.lit(keep), F.col("n") - F.col("k"))).alias("wt"), F.posexplode("embedding").alias("i", "v"))
+    return weighed.groupBy("label", "i").agg(r6(F.sum(F.col("wt") * F.col("v").cast("double"))).alias("ema"))
+
+
+@query(
+    "common_start",
+    """with s as (select source, list(source || '_' || lang || '_run' order by doc_id) as l, min(source || '_' || lang || '_run') as lo, max(source || '_' || lang || '_run') as hi from documents group by source),
+    c as (select source, lo, coalesce((select min(i) - 1 from range(1, 100) t(i) where substr(lo, i, 1) <> substr(hi, i, 1) or i > length(lo)), 0) as n from s)
+    select source, substr(lo, 1, greatest(1, n - 4)::int) as start from c""",
+)
+def common_start(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The common start of a group's labels, less four letters: that of the least and the greatest."""
+    name = F.concat_ws("_", "source", "lang", F.lit("run"))
+    ends = table(spark, sf_dir, "documents").groupBy("source").agg(F.min(name).alias("lo"), F.max(name).alias("hi"))
+    same = F.filter(F.sequence(F.lit(1), F.length("lo")), lambda i: F.substring(F.col("lo"), F.lit(1), i) == F.substring(F.col("hi"), F.lit(1), i))
+    return ends.select("source", F.substring("lo", F.lit(1), F.greatest(F.lit(1), F.size(same) - 4)).alias("start"))
+
+
+
+
+@query(
+    "saliency_resample",
+    f"""with {GRIDS_SQL}, o as (select range::int as k, greatest((range + 0.5) * 8 / 5.0 - 0.5, 0)::double as c from range(5)),
+    t as (select k, floor(c)::int as i, least(floor(c)::int + 1, 7) as j, c - floor(c) as f from o)
+    select a.img, ty.k as y, tx.k as x, round(greatest((1 - ty.f) * ((1 - tx.f) * a.v + tx.f * b.v) + ty.f * ((1 - tx.f) * c.v + tx.f * d.v), 1e-6), 6) as v
+    from t ty, t tx join g a on a.y = ty.i and a.x = tx.i join g b on b.img = a.img and b.y = ty.i and b.x = tx.j join g c on c.img = a.img and c.y = ty.j and c.x = tx.i join g d on d.img = a.img and d.y = ty.j and d.x = tx.j""",
+)
+def saliency_resample(spark: SparkSession, sf_dir: str, size: int = 5) -> DataFrame:
+    """A weight map resampled bilinearly (pixel centres, no aligned corners) to a layer's shape, floored above zero."""
+    h, w, d = F.col("h"), F.col("w"), F.col("data")
+
+    def axis(k: Column, n: Column) -> Column:
+        c = F.greatest((k + 0.5) * n / size - 0.5, F.lit(0.0))
+        i = F.floor(c).cast("int")
+        return F.struct(i.alias("i"), F.least(i + 1, n - 1).alias("j"), (c - i).alias("f"))
+
+    def at(p: Column) -> Column:
+        def blend(s: Column) -> Column:
+            y, x = s["y"], s["x"]
+            v = lambda a, b: F.get(d, a * w + b)
+            top = (1 - x["f"]) * v(y["i"], x["i"]) + x["f"] * v(y["i"], x["j"])
+            low = (1 - x["f"]) * v(y["j"], x["i"]) + x["f"] * v(y["j"], x["j"])
+            return F.greatest((1 - y["f"]) * top + y["f"] * low, F.lit(1e-6))
+
+        return let(F.struct(axis(F.floor(p / size), h).alias("y"), axis(p % size, w).alias("x")), blend)
+
+    out = F.transform(F.sequence(F.lit(0), F.lit(size * size - 1)), at)
+    return tall(grids(spark, sf_dir).select("img", out.alias("data"), F.lit(size).alias("w")))
+
+
+@query("batch_concat", f"with {GRIDS_SQL} select 'real_a' as part, count(*) as n, round(avg(v), 6) as mean from g where label = 0 union all select 'real_b', count(*), round(avg(v), 6) from g where label = 1")
+def batch_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both sides of a batch in one table, told apart by a tag."""
+    rows = grids(spark, sf_dir)
+    side = lambda k, n: rows.where(F.col("label") == k).select(F.lit(n).alias("part"), F.explode("data").alias("v"))
+    return side(0, "real_a").unionByName(side(1, "real_b")).groupBy("part").agg(F.count("*").alias("n"), r6(F.avg("v")).alias("mean"))
+
+
+@query("metric_summary")
+def metric_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The data set's metrics as lines of text."""
+    from .raster_queries import METRICS, QUERIES as RASTER
+
+    rows = RASTER["dataset_quality"](spark, sf_dir)
+    wide = rows.where("image = '__AVG__'").select(*[F.col(m).alias(f"a_{m}") for m in METRICS], "n").join(F.broadcast(rows.where("image = '__STD__'").select(*[F.col(m).alias(f"s_{m}") for m in METRICS])))
+    lines = [F.format_string(f"- {m:<16}: %8.4f +- %.4f", f"a_{m}", f"s_{m}") for m in METRICS]
+    return wide.select(F.posexplode(F.array(F.format_string("metrics of %d images", "n"), *lines)).alias("line", "text"))
