@@ -71,12 +71,16 @@ def crc_mod(key: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % n
 
 
-def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+def sized(df: DataFrame, rows: int = BROADCAST_ROWS, values: Column | None = None) -> DataFrame:
     """df marked for broadcast if it is small by count; as it is otherwise (the join then shuffles).
 
-    df has to be cheap to count: a scratch table or a bounded sample.
+    df has to be cheap to count: a scratch table or a bounded sample. Where rows hold arrays,
+    ``values`` is the size of a row's array, and their sum has to be small as well.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    small = df.limit(rows + 1).count() <= rows
+    if small and values is not None:
+        small = (df.agg(F.sum(values)).first()[0] or 0) <= rows
+    return F.broadcast(df) if small else df
 
 
 def let(value: Column, body) -> Column:

@@ -154,7 +154,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     found = gone(docs.select("doc_id", "text"), scratch)
     marks = found.groupBy("doc_id").agg(F.collect_set(_mark(F.col("pos"), F.col("h1"))).alias("gone"))
-    marks = sized(scratch.save(marks, "marks"))
+    marks = sized(scratch.save(marks, "marks"), values=F.size("gone"))
     out = docs.select("doc_id", "text", F.struct("*").alias("row")).join(marks, "doc_id", "left")
 
     def kept(ls: Column) -> Column:
