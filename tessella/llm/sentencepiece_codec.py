@@ -30,7 +30,7 @@ from .common import table, text_batches
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Words that a worker remembers.
-CACHE = 400_000
+CACHE = 1_000_000
 #: Piece types in a model file (fixed values of the format).
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
