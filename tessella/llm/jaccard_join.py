@@ -21,6 +21,10 @@ sketch over all documents, of a fixed size - and permutations of the hashes.
 Candidates must also share a prefix token under every other order; those that pass
 all filters are verified by their whole sets. Components are found over the links.
 
+``classes`` needs components alone, so steps 3 and 4 skip pairs whose classes have met
+already. ``links`` skips none: it is the join itself, every link between two classes,
+with the documents of each class; as many rows as there are links, whatever the group.
+
 Defined results: null and empty texts have an empty set, link with nothing and are
 their own component; texts of fewer than k words are one shingle of all words; rows
 of equal doc_id are one document (links of any of its texts count); rows with null
@@ -129,14 +133,15 @@ def prefixes(docs: DataFrame, k: int, percent: int, rank: np.ndarray) -> DataFra
 
 
 def whole_sets(docs: DataFrame, k: int) -> DataFrame:
-    """id and its whole set."""
+    """id and its whole set with the set's 128-bit name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t, k) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(sets)], names=["id", "tokens"])
+            two = np.array([np.frombuffer(xxh3_128_digest(s.tobytes()), np.int64) for s in sets], np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(two[:, 0]), pa.array(two[:, 1]), _lists(sets)], names=["id", "h1", "h2", "tokens"])
 
-    return text_batches(docs).select("doc_id", "text").mapInArrow(run, "id long, tokens array<long>")
+    return text_batches(docs).select("doc_id", "text").mapInArrow(run, "id long, h1 long, h2 long, tokens array<long>")
 
 
 def _views(column: pa.Array) -> list[np.ndarray]:
@@ -183,8 +188,49 @@ def _possible(one: str, two: str, percent: int) -> Column:
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * F.least(n - i, m - j) >= percent * (n + m))
 
 
+def _pairwise(index: DataFrame, percent: int, names: tuple[str, ...], apart: Column | None = None) -> DataFrame:
+    """Pairs (x_*, y_*) of index rows that share a token, the shorter with the longer, that the position filters admit."""
+    x = index.where("short").select("token", *[F.col(c).alias(f"x_{c}") for c in names])
+    y = index.select("token", *[F.col(c).alias(f"y_{c}") for c in names])
+    longer = (F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_id") < F.col("y_id")))
+    also = longer & _possible("x_", "y_", percent)
+    return x.join(y, (x["token"] == y["token"]) & (also if apart is None else also & apart))
+
+
+def links(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """The whole join: (links, members); docs has doc_id and text.
+
+    links: a, b (two classes, a < b) and a_doc, b_doc (their smallest doc_ids), one row for each pair
+    of different sets that reach the similarity. members: doc_id, class and n_shingles of each document
+    with words and an id; documents of one class are equal sets. Every candidate pair is verified.
+    """
+    scratch = Scratch(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = scratch.save(prefixes(docs, k, percent, frequencies(docs, k)).where("n > 0 and doc_id is not null"), "rows")
+    # texts of one doc_id may be of several classes, so a class has a number of its own
+    reps = rows.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("doc_id"), F.first("prefix").alias("prefix"))
+    reps = scratch.save(reps.withColumn("id", F.monotonically_increasing_id()), "reps")
+    index = reps.select("id", "n", F.posexplode("prefix").alias("pos", "token")).withColumn("short", F.col("pos") < _short_prefix(F.col("n"), percent))
+    shared = index.groupBy("token").agg(F.count("*").alias("c"), F.max("short").alias("s")).where("c > 1 and s").select("token")
+    index = scratch.save(index.join(sized(scratch.save(shared, "shared")), "token"), "index")
+    pairs = _pairwise(index, percent, ("id", "n", "pos")).select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"))
+    pairs = scratch.save(pairs.distinct(), "pairs")
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    some = scratch.save(reps.join(ids, "id").select("id", "doc_id", "h1", "h2"), "some")
+    sets = whole_sets(docs.join(sized(some.select("doc_id").distinct()), "doc_id", "left_semi"), k).withColumnRenamed("id", "doc_id")
+    sets = scratch.save(sets.join(sized(some), ["doc_id", "h1", "h2"]).select("id", "tokens").dropDuplicates(["id"]), "sets")
+    found = scratch.save(linked(pairs, sets, percent), "links")
+    for s in ("a", "b"):
+        found = found.join(some.select(F.col("id").alias(s), F.col("doc_id").alias(f"{s}_doc")), s)
+    found = scratch.save(found.select("a", "b", "a_doc", "b_doc"), "found")
+    members = rows.select("doc_id", "h1", "h2", "n").distinct().join(reps.select("h1", "h2", "n", "id"), ["h1", "h2", "n"])
+    members = scratch.save(members.select("doc_id", F.col("id").alias("class"), F.col("n").alias("n_shingles")), "members")
+    scratch.drop("rows", "reps", "shared", "index", "pairs", "some", "sets", "links")
+    return found, members
+
+
 def classes(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row; docs has doc_id and text."""
+    """doc_id, n_shingles and component_id of every row, of links enough to tell components; docs has doc_id and text."""
     scratch = Scratch(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rank = frequencies(docs, k)
@@ -237,10 +283,7 @@ def classes(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFram
             continue
         names = ("id", "n", "pos", "comp")
         mixed = scratch.save(mixed.select("token", "short", *names), "mixed")
-        x = mixed.where("short").select("token", *[F.col(c).alias(f"x_{c}") for c in names])
-        y = mixed.select("token", *[F.col(c).alias(f"y_{c}") for c in names])
-        longer = (F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_id") < F.col("y_id")))
-        met = x.join(y, (x["token"] == y["token"]) & longer & (F.col("x_comp") != F.col("y_comp")) & _possible("x_", "y_", percent))
+        met = _pairwise(mixed, percent, names, F.col("x_comp") != F.col("y_comp"))
         compare(met.select(F.col("x_id").alias("a"), F.col("y_id").alias("b")), turn)
     comps = scratch.save(components(links, scratch, "cc"), "comps")
     named = named.withColumnRenamed("id", "rep").join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("h1", "h2", "n", F.coalesce("comp", "rep").alias("comp"))

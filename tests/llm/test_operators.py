@@ -453,6 +453,36 @@ def test_jaccard_chains_and_borders(spark, k, percent):
     assert found == jaccard_classes(texts, k, percent)
 
 
+def test_jaccard_links_are_all_links(spark):
+    """Groups of mutually near texts with exact copies, and two texts of one doc_id: no link is missing inside a component."""
+    import random
+
+    rng = random.Random(11)
+    texts = []
+    for _ in range(3):
+        words = [f"w{rng.randint(0, 400)}" for _ in range(60)]
+        for _ in range(14):
+            texts.append([*words[:5], f"x{len(texts)}", *words[6:]] if rng.random() < 0.7 else words[: 60 - rng.randint(0, 12)])
+        texts += [words, texts[-3]]
+    pairs = [(i, " ".join(w)) for i, w in enumerate(texts)] + [(0, " ".join(texts[20])), (None, " ".join(texts[1])), (900, None), (901, " ")]
+    found, members = jaccard_join.links(spark.createDataFrame(pairs, "doc_id long, text string"), 4, 85)
+    inside = collections.defaultdict(set)
+    for r in members.collect():
+        inside[r["class"]].add(r["doc_id"])
+    by_set = collections.defaultdict(set)
+    for d, t in pairs:
+        if d is not None and t and t.split():
+            w = t.split()
+            by_set[frozenset(tuple(w[i : i + 4]) for i in range(len(w) - 3))].add(d)
+    assert sorted(map(sorted, inside.values())) == sorted(map(sorted, by_set.values()))
+    sets = list(by_set)
+    near = [(x, y) for i, x in enumerate(sets) for y in sets[:i] if 100 * len(x & y) >= 85 * len(x | y)]
+    want = collections.Counter(frozenset((frozenset(by_set[x]), frozenset(by_set[y]))) for x, y in near)
+    links = found.collect()
+    assert collections.Counter(frozenset((frozenset(inside[r["a"]]), frozenset(inside[r["b"]]))) for r in links) == want
+    assert len(links) > 2 * len(sets) and all(r["a"] < r["b"] and r["a_doc"] == min(inside[r["a"]]) and r["b_doc"] == min(inside[r["b"]]) for r in links)
+
+
 def test_urls(spark, odd_dir):
     pages = {r["page_id"]: r["url"] for r in pq.read_table(f"{odd_dir}/pages.parquet").to_pylist()}
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
