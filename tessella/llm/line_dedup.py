@@ -1,9 +1,13 @@
 """Operator 8, line dedup: deletion-neighbourhood join over words [native].
 
 A line is what ``\\n`` splits off, without white space around it; its words are what
-blanks separate. Of equal lines, the earliest (by doc_id, then place) stays; likewise
-of lines of NEAR_WORDS words or more that one edit of a word (change, insert, delete)
-turns into another.
+white space separates, and each code point of a script that is written without blanks
+(SCRIPTS). Of equal lines that are not blank, the earliest (by doc_id, then place) stays;
+likewise of lines of NEAR_WORDS words or more that one edit of a word (change, insert,
+delete) turns into another, or that have the same words.
+
+The op8 query is bound by its SQL to less (``by_sql``): words are what the blank 0x20
+separates, and lines of fewer than MIN_WORDS of them always stay.
 
 1. Lines become hashes; equal lines become one, with its earliest place.
 2. Two lines within one edit share their first or last half; lines that share no half
@@ -20,9 +24,8 @@ turns into another.
 Keys of before and behind are chained over blocks of BLOCK words, so a line of n words
 costs n * (BLOCK + n / BLOCK) hash steps.
 
-Defined results: null texts stay null, empty texts empty; blank lines and lines of fewer
-than MIN_WORDS words always stay; rows with null doc_id keep all lines and take no part;
-rows of one doc_id are one document: a line that is first in it stays in each of them.
+Defined results: null texts stay null, empty texts empty; blank lines always stay; rows
+with null doc_id keep all lines and take no part; rows of one doc_id are one document: a line that is first in it stays in each of them.
 A text whose lines all go is empty. Line ends stay as they are between lines that stay.
 """
 
@@ -33,8 +36,10 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, let, sized, table
 
-#: Words of a line that may go at all, and of one that may go for a near copy.
+#: Words of a line that may go at all by the SQL of the op8 query, and of one that may go for a near copy.
 MIN_WORDS, NEAR_WORDS = 3, 10
+#: Code points of scripts without blanks between words: Thai, Lao, Myanmar, Khmer, kana, Han.
+SCRIPTS = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3041-\u30FF\u31F0-\u31FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\uFF66-\uFF9F\x{20000}-\x{3FFFF}"
 BLOCK = 64
 HALVES = ("k0", "k1", "k2", "k3")
 
@@ -44,17 +49,26 @@ def bare(line: Column) -> Column:
     return F.btrim(line, F.lit(" \t\n\u000b\f\r"))
 
 
+def spaced(line: Column) -> Column:
+    """The words of a bare line with one blank between them."""
+    apart = F.when(F.octet_length(line) > F.char_length(line), F.regexp_replace(line, f"([{SCRIPTS}])", " $1 ")).otherwise(line)
+    return F.when(apart.rlike(r"[\t\x0B\f\r]|  |^ | $"), F.btrim(F.regexp_replace(apart, r"[\x20\t\x0B\f\r]+", " "))).otherwise(apart)
+
+
 def _half(side: int, m: Column) -> Column:
     """Key of the first (0) or last (1) half of a line that is the shorter (m = n) or longer (m = n - 1) of two."""
     g = F.floor((m - 1) / 2).cast("int")
-    return F.when(F.col("n") >= NEAR_WORDS, F.xxhash64(F.lit(side), m, F.call_function("substring_index", F.col("bare"), F.lit(" "), -g if side else g)))
+    return F.when(F.col("n") >= NEAR_WORDS, F.xxhash64(F.lit(side), m, F.call_function("substring_index", F.col("spaced"), F.lit(" "), -g if side else g)))
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """doc_id, pos, n, h1, h2 (a 128-bit name of the line) and half keys of each line of MIN_WORDS words or more."""
+def lines(docs: DataFrame, by_sql: bool = False) -> DataFrame:
+    """doc_id, pos, h1, h2 (a 128-bit name of the line) and half keys of each line that is not blank (by_sql: of MIN_WORDS words or more)."""
     one = docs.where("doc_id is not null and text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     one = one.select("doc_id", "pos", bare(F.col("line")).alias("bare")).where("bare <> ''")
-    one = one.withColumn("n", F.octet_length("bare") - F.octet_length(F.replace("bare", F.lit(" "), F.lit(""))) + 1).where(F.col("n") >= MIN_WORDS)
+    one = one.withColumn("spaced", F.col("bare") if by_sql else spaced(F.col("bare")))
+    one = one.withColumn("n", F.octet_length("spaced") - F.octet_length(F.replace("spaced", F.lit(" "), F.lit(""))) + 1)
+    if by_sql:
+        one = one.where(F.col("n") >= MIN_WORDS)
     n = F.col("n")
     halves = [_half(0, n).alias("k0"), _half(1, n).alias("k1"), _half(0, n - 1).alias("k2"), _half(1, n - 1).alias("k3")]
     return one.select("doc_id", "pos", F.xxhash64("bare").alias("h1"), F.xxhash64(F.lit(1), "bare").alias("h2"), *halves)
@@ -105,9 +119,9 @@ def within_one_edit(a: Column, b: Column) -> Column:
     return let(F.struct(F.when(longer, b).otherwise(a).alias("short"), F.when(longer, a).otherwise(b).alias("long")), of)
 
 
-def gone(docs: DataFrame, scratch: Scratch) -> DataFrame:
+def gone(docs: DataFrame, scratch: Scratch, by_sql: bool = False) -> DataFrame:
     """doc_id, pos and h1 of the lines that go; docs has doc_id and text."""
-    every = scratch.save(lines(docs), "lines")
+    every = scratch.save(lines(docs, by_sql), "lines")
     first = every.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("at"), F.count("*").alias("c"), *[F.first(k).alias(k) for k in HALVES])
     first = scratch.save(first.select("h1", "h2", F.col("at.doc_id").alias("doc_id"), F.col("at.pos").alias("pos"), "c", *HALVES), "first")
     half = first.where("k0 is not null").select("h1", "h2", F.posexplode(F.array(*HALVES)).alias("side", "half"))
@@ -120,7 +134,7 @@ def gone(docs: DataFrame, scratch: Scratch) -> DataFrame:
     texts = docs.join(holders, "doc_id", "left_semi").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     texts = texts.join(sized(near), ["doc_id", "pos"]).withColumn("bare", bare(F.col("line")))
     texts = texts.where((F.xxhash64("bare") == F.col("h1")) & (F.xxhash64(F.lit(1), "bare") == F.col("h2")))
-    near = texts.select("h1", "h2", "doc_id", "pos", "head", "tail", F.split("bare", " ").alias("ws"))
+    near = texts.select("h1", "h2", "doc_id", "pos", "head", "tail", F.split(F.col("bare") if by_sql else spaced(F.col("bare")), " ").alias("ws"))
     near = scratch.save(near.dropDuplicates(["h1", "h2"]), "words")
     n = F.size("ws")
     g = F.floor((n - 2) / 2).cast("int")
@@ -149,10 +163,10 @@ def _mark(pos: Column, h1: Column) -> Column:
     return F.shiftleft(pos.cast("long"), 32).bitwiseOR(h1.bitwiseAND(F.lit(0xFFFFFFFF)))
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """row (a struct of docs' columns, with the new ``text``), n_lines and n_removed for each row of docs."""
+def dedup(docs: DataFrame, by_sql: bool = False) -> DataFrame:
+    """row (a struct of docs' columns, with the new ``text``), n_lines and n_removed for each row of docs; by_sql: as the op8 query's SQL has it."""
     scratch = Scratch(docs.sparkSession)
-    found = gone(docs.select("doc_id", "text"), scratch)
+    found = gone(docs.select("doc_id", "text"), scratch, by_sql)
     marks = found.groupBy("doc_id").agg(F.collect_set(_mark(F.col("pos"), F.col("h1"))).alias("gone"))
     marks = sized(scratch.save(marks, "marks"), values=F.size("gone"))
     out = docs.select("doc_id", "text", F.struct("*").alias("row")).join(marks, "doc_id", "left")
@@ -173,7 +187,7 @@ def dedup(docs: DataFrame) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select("row.*", "n_lines", "n_removed")
+    return dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), by_sql=True).select("row.*", "n_lines", "n_removed")
 
 
 ORACLE = {

@@ -402,6 +402,21 @@ def test_line_dedup_finds_every_single_edit(spark):
     assert found == deduped(texts)
 
 
+def test_line_dedup_of_short_lines_and_other_blanks(spark):
+    """Every line that is not blank may go; near copies also where words are parted by tabs or by nothing."""
+    row = [f"c{i}" for i in range(12)]
+    thai, han = "ภาษาไทยเขียนโดยไม่เว้นวรรค", "這是一行很長而且沒有任何空格的漢字"
+    url = "https://example.org/a/very/long/path/of/a/page/" + "x" * 40
+    first = ["Menu", "Read more", "\t".join(row), thai, han, url, "", "日本語"]
+    later = [" Menu", "Read more\t", "\t".join([*row[:4], "new", *row[5:]]), "  ".join(row), thai, thai[:5] + "ก" + thai[6:], han[:-1], han + "尾", url, "", "日本語", "stays"]
+    other = [url + "1", "Read\tmore", "日本誤", "Menu x"]
+    df = spark.createDataFrame([(1, "\n".join(first)), (2, "\n".join(later)), (3, "\n".join(other)), (None, "Menu")], "doc_id long, text string")
+    found = {r["doc_id"]: (r["text"], r["n_removed"]) for r in line_dedup.dedup(df).select("row.*", "n_removed").collect()}
+    assert found == {1: ("\n".join(first), 0), 2: ("\nstays", len(later) - 2), 3: ("\n".join(other), 0), None: ("Menu", 0)}
+    contract = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup(df, by_sql=True).select("row.*", "n_removed").collect()}
+    assert contract == {1: 0, 2: 0, 3: 0, None: 0}, "the SQL of op8 leaves all of them"
+
+
 def jaccard_classes(texts, k, percent):
     sets = {}
     for d, t in texts.items():
