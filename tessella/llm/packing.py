@@ -17,6 +17,7 @@ columns are ignored.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -57,15 +58,20 @@ class TextEncoder:
 
     Where the file is a plain byte-level BPE whose ids are its merge ranks, tiktoken's
     engine runs the file's vocabulary, at a third of the time; both must agree on a
-    probe, else the library itself encodes. Strings of special tokens are ordinary text.
+    probe, else the library itself encodes. The library also encodes each text that the
+    engine fails on (a run of a million white-space characters) or, with ``added``, that
+    holds an added token, which is then one id; else its string is ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.fast = self._engine(path)
+        self.tok.encode_special_tokens = not added
+        strings = [t.content for t in self.tok.get_added_tokens_decoder().values() if added or not t.special]
+        self.added = re.compile("|".join(map(re.escape, strings))) if strings else None
 
     def _engine(self, path: str):
         import tiktoken
@@ -85,16 +91,26 @@ class TextEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit bytes."""
         if self.fast:
-            ids = map(self.fast.encode_ordinary, texts)
+            ids = map(self._ids, texts)
         else:
             ids = (e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False))
         return [np.asarray(i, "<u4").tobytes() for i in ids]
 
+    def _ids(self, text: str) -> list[int]:
+        """Ids by the engine where it is able to, else by the library."""
+        if not (self.added and self.added.search(text)):
+            try:
+                return self.fast.encode_ordinary(text)
+            except BaseException as e:  # the engine's panics are no Exceptions
+                if type(e).__name__ != "PanicException":
+                    raise
+        return self.tok.encode(text, add_special_tokens=False).ids
+
 
 @lru_cache(maxsize=1)
 def encoder(path: str) -> TextEncoder:
-    """One encoder a worker process; later tasks find it loaded."""
-    return TextEncoder(path)
+    """One encoder a worker process, with added tokens as the library's defaults have them; later tasks find it loaded."""
+    return TextEncoder(path, added=True)
 
 
 def pieces_of(count: int, capacity: int) -> list[tuple[int, int]]:

@@ -224,6 +224,22 @@ def test_fast_engine_gives_the_tokenizers_ids():
     assert enc.encode(texts) == want
 
 
+def test_packing_of_added_tokens_and_long_white_space(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(packing.default_tokenizer())  # as it is by default
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>\n x", "plain", " " * 1_000_000, "a" + "\n" * 1_000_000 + "b", "\t \u2003" * 400_000]
+    want = [struct.pack(f"<{len(i)}I", *i) for i in (tok.encode(t, add_special_tokens=False).ids for t in texts)]
+    assert want[1] == struct.pack("<I", 50256)
+    enc = packing.encoder(packing.default_tokenizer())
+    assert enc.fast is not None and enc.encode(texts) == want
+    df = spark.createDataFrame(list(enumerate(texts[:5])), "doc_id long, text string")
+    ids = collections.Counter()
+    for r in packing.pieces(df).collect():
+        ids[r["doc_id"]] += r["length"]
+    assert ids == {k: len(w) // 4 + 1 for k, w in enumerate(want[:5])}
+
+
 def test_codec_round_trips_and_is_optimal(spark, odd_dir):
     assert all(r["round_trip"] for r in rows(spark, "op5_sentencepiece", odd_dir))
     codec = sentencepiece_codec.Codec(sentencepiece_codec.default_model())
