@@ -16,14 +16,15 @@ from tessella.llm.common import Scratch, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the decision list learned from ``labels`` rejects go.
+    """Documents that the decision list learned from ``labels`` rejects go, and repetitive ones of 50 words or more.
 
-    The list alone judges: the base limits of the op7 query (fewer than 50 words) would
-    take short clean documents.
+    Of the base rule of the op7 query its repetition half judges, with or without labels;
+    the other half (fewer than 50 words) would take short clean documents.
     """
     rules = quality_rules.fit(docs, table(spark, sf_dir, "labels"))
     rows = docs.select("text", F.struct("*").alias("row"))  # columns of docs keep their names whatever the operator adds
-    return quality_rules.judge(rows, rules).where(F.col("rule") == 0).select("row.*")
+    repetitive = F.col("base_failed") & (F.col("stats.n_words") >= 50)
+    return quality_rules.judge(rows, rules).where((F.col("rule") == 0) & ~repetitive).select("row.*")
 
 
 def line_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

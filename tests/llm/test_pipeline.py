@@ -7,7 +7,7 @@ import re
 import corpus_pipeline
 import pyarrow.parquet as pq
 import pytest
-from test_operators import deduped, jaccard_classes
+from test_operators import deduped, jaccard_classes, repeats
 
 from tessella.llm import secret_scan
 
@@ -37,6 +37,15 @@ def test_quality_stage_drops_junk_alone(spark, docs, odd_dir):
     assert all(d in before for d in after), "rows that stay are as they were"
 
 
+def test_quality_stage_drops_repetitive_texts_without_labels(spark, docs, odd_dir, tmp_path):
+    pq.write_table(pq.read_table(f"{odd_dir}/labels.parquet").slice(0, 0), f"{tmp_path}/labels.parquet")
+    before, after = collected(docs), collected(STAGES["quality_rules"](spark, docs, str(tmp_path)))
+    repetitive = lambda w, rep: len(w) >= 50 and 100 * len(rep) > 50 * len(w)
+    want = sorted(d["row"] for d in before if not repetitive(*repeats(d["text"])))
+    assert sorted(d["row"] for d in after) == want and len(want) < len(before)
+    assert {d["text"] for d in after} >= {None, "", "one", "two words"}
+
+
 def test_line_stage(spark, docs, odd_dir):
     before, after = collected(docs), collected(STAGES["line_dedup"](spark, docs, odd_dir))
     texts = {d["doc_id"]: d["text"] for d in before if d["doc_id"] is not None}
