@@ -36,9 +36,9 @@ WEAK = ("weak_secret", "weak_id", "endpoint")
 #: Code points on either side of a part within which others complete it.
 REACH = 240
 
-_WEAK_ID = re.compile(r"(?:user(?:name)?|login|account|client_?id|key_?id)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9@._-]{3,64}", re.A | re.I)
+_WEAK_ID = re.compile(r"(?:user(?:name)?|login|account|client_?id|key_?id)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9@._-]{3,}", re.A | re.I)
 _ENDPOINT = re.compile(r"[a-z][a-z0-9+.-]{1,20}://[^\s\"'<>]{4,}|(?:host|endpoint|server)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9.:-]{4,}", re.A | re.I)
-_OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Za-z0-9+/_=-])")
+_OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
 
 
 def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:

@@ -129,6 +129,17 @@ def test_weak_links_against_all_pairs():
         assert found["endpoint"] == [s for s in ends if near(s, weak) and near(s, ids + strong)]
 
 
+@pytest.mark.parametrize("size", [100, 128, 129, 500, 100_000])
+def test_weak_parts_of_any_length(size):
+    key, name = ("aB3" * size)[:size], "bob" + "x" * size
+    text = f"user={name} host: db.example.com\n{key}== end"
+    at = text.index(key)
+    spans = secret_scan.scan_text(text)[4].split(",")
+    assert f"weak_id:0:{5 + len(name)}" in spans and f"weak_secret:{at}:{at + size + 2}" in spans
+    assert secret_scan.redact_text(text) == "[SECRET] [SECRET]\n[SECRET] end"
+    assert secret_scan.scan_text(f"{key} alone")[4] == ""
+
+
 def test_languages(spark, odd_dir, odd_docs):
     truth = {d["doc_id"]: d for d in odd_docs}
     hits = []
