@@ -7,8 +7,6 @@ Streaming; the event-time parts are this engine's own.
 from __future__ import annotations
 
 import hashlib
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -17,12 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..plans.monitor_queries import parsed
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A fresh path in the folder that all executors share (spark.checkpoint.dir; a temporary one where unset)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessella-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+from ..scratch import Scratch
 
 
 def lines_of(events: DataFrame) -> DataFrame:
@@ -43,7 +36,7 @@ def latest(lines: DataFrame) -> DataFrame:
 
 def drained(stream: DataFrame, spark: SparkSession, mode: str) -> DataFrame:
     """Runs a stream over what is there now and returns its last result table."""
-    out = shared_folder(spark)
+    out = Scratch(spark).root
 
     def put(batch: DataFrame, n: int) -> None:
         batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{out}/table")
