@@ -1,16 +1,18 @@
-"""Shared helpers: table reads, scratch tables in the cluster's shared folder, splits."""
+"""Shared helpers: table reads, scratch tables in the cluster's shared folder, bounded samples and broadcasts."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Largest row count of a side that is broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 2_000_000
+from ..scratch import Scratch, owned
+
+__all__ = ["Scratch", "crc_mod", "labelled_ids", "least_by_hash", "let", "once", "owned", "sized", "table", "text_batches"]
 
+#: Bytes of a side that is broadcast, as Spark holds its rows; beyond it the join shuffles.
+BROADCAST_BYTES = 64 << 20
+#: Bytes of a row in a broadcast relation besides its fields (header, pointers, hash slot), about.
+ROW_BYTES = 40
 
 #: Rows and bytes of an Arrow batch of whole texts: what a Python worker holds at once.
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
@@ -19,7 +21,8 @@ BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 def text_batches(df: DataFrame) -> DataFrame:
     """df, with its session's Arrow batches bounded for rows that hold whole texts or token sets.
 
-    The default of 10,000 rows would put gigabytes of long texts into one batch.
+    The default of 10,000 rows would put gigabytes of long texts into one batch. Spark reads
+    these settings when a plan runs, so they stay in the session; they change no result.
     """
     conf = df.sparkSession.conf
     conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(min(BATCH_ROWS, int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")))))
@@ -31,56 +34,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir.
-
-    Only where that is unset (tests, one machine) is a folder of our own taken.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = getattr(spark, "_tessella_scratch", None)
-        if not found:
-            found = spark._tessella_scratch = "file://" + tempfile.mkdtemp(prefix="tessella-")
-    return found.rstrip("/")
-
-
-class Scratch:
-    """Intermediate tables as Parquet in the shared folder.
-
-    Writing a table cuts its lineage: a lost executor costs the tasks it ran,
-    never a recomputation of earlier stages, and no copy is machine-local.
-    """
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, *names: str) -> None:
-        jvm = self.spark._jvm
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def crc_mod(key: str, n: int) -> Column:
     """crc32 of the key as text, modulo n; null keys count as empty text."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % n
 
 
-def sized(df: DataFrame, rows: int = BROADCAST_ROWS, values: Column | None = None) -> DataFrame:
-    """df marked for broadcast if it is small by count; as it is otherwise (the join then shuffles).
+def sized(df: DataFrame) -> DataFrame:
+    """df marked for broadcast if it takes at most BROADCAST_BYTES, by count; as it is otherwise (the join then shuffles).
 
-    df has to be cheap to count: a scratch table or a bounded sample. Where rows hold arrays,
-    ``values`` is the size of a row's array, and their sum has to be small as well.
+    df has to be cheap to count: a scratch table or a bounded sample. Strings and arrays count by their lengths.
     """
-    small = df.limit(rows + 1).count() <= rows
-    if small and values is not None:
-        small = (df.agg(F.sum(values)).first()[0] or 0) <= rows
-    return F.broadcast(df) if small else df
+    lengths = [F.octet_length(f.name) if f.dataType.simpleString() in ("string", "binary") else F.size(f.name) * 16 for f in df.schema if f.dataType.simpleString()[:5] in ("strin", "binar", "array")]
+    row, most = ROW_BYTES + 8 * len(df.columns), BROADCAST_BYTES
+    some = df.limit(most // row + 1)  # what is larger need not be counted to its end
+    held = sum((F.coalesce(n, F.lit(0)) for n in lengths), F.lit(row)).cast("long")
+    return F.broadcast(df) if (some.agg(F.sum(held)).first()[0] or 0) <= most else df
 
 
 def let(value: Column, body) -> Column:
@@ -88,6 +56,21 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def least_by_hash(rows: DataFrame, key: Column, n: int, *ties: str) -> DataFrame:
+    """The n rows with the least key, a 64-bit hash.
+
+    Rows are counted first and filtered by a bound of the hash that about 2n of them pass,
+    so a task sends its share of those on, not n rows each. Where too few pass (equal hashes
+    of repeated rows), all rows are ordered.
+    """
+    total = rows.count()
+    if total > 4 * n:
+        some = rows.where(key < F.lit(-(2**63) + 2**64 * 2 * n // total))
+        if some.limit(n).count() == n:
+            rows = some
+    return rows.orderBy(key, *ties).limit(n)
+
+
 def labelled_ids(labels: DataFrame, label: str, limit: int, keep: Column | None = None) -> DataFrame:
     """At most ``limit`` (doc_id, label) rows, the smallest by a hash of the id: the documented bound of every fit here.
 
@@ -97,7 +80,7 @@ def labelled_ids(labels: DataFrame, label: str, limit: int, keep: Column | None
     if keep is not None:
         rows = rows.where(keep)
     rows = rows.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
-    return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    return least_by_hash(rows, F.xxhash64("doc_id"), limit, "doc_id")
 
 
 def once(rows: DataFrame, *columns: str) -> DataFrame:

@@ -18,8 +18,12 @@ sketch over all documents, of a fixed size - and permutations of the hashes.
    stands behind the token in both sets must suffice; both are join conditions. So no
    link between components is lost.
 
-Candidates must also share a prefix token under every other order; those that pass
-all filters are verified by their whole sets. Components are found over the links.
+Candidates must also share a prefix token under every other order. These prefixes are
+written with the first ones, as 32-bit names of their tokens, and a candidate pair is
+dropped in the JVM when they are disjoint under any order, before whole sets are made;
+names that happen to be equal let a pair through, never drop one. Pairs that pass all
+filters are verified by their whole sets. Components are found over the links. ``report``
+takes the numbers of pairs before and behind each filter.
 
 ``classes`` needs components alone, so steps 3 and 4 skip pairs whose classes have met
 already. ``links`` skips none: it is the join itself, every link between two classes,
@@ -28,7 +32,9 @@ with the documents of each class; as many rows as there are links, whatever the
 Defined results: null and empty texts have an empty set, link with nothing and are
 their own component; texts of fewer than k words are one shingle of all words; rows
 of equal doc_id are one document (links of any of its texts count); rows with null
-doc_id link with nothing and have a null component.
+doc_id link with nothing and have a null component; very long texts are taken whole; a
+component is named by its smallest doc_id, so ties cannot occur; an empty table gives no
+rows; extra columns are ignored, and kept by ``keep_one``, whatever their names.
 """
 
 from __future__ import annotations
@@ -49,8 +55,11 @@ from .graph import components
 WORDS, PERCENT = 5, 80
 #: The frequency sketch has 2**SKETCH_BITS counters, sent in blocks of 2**BLOCK_BITS.
 SKETCH_BITS, BLOCK_BITS = 22, 14
+#: Blobs of a block that are added at once, and levels of such groups: for FAN ** (LEVELS + 1) tasks.
+FAN, LEVELS = 256, 2
 #: Odd multipliers; each permutes the hashes into one more global order.
 ORDERS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+OTHERS = tuple(f"prefix{i}" for i in range(1, len(ORDERS) + 1))
 _MIX = [np.uint64(x) for x in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x9FB21C651E98DF25, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
 
@@ -73,10 +82,10 @@ def prefix_size(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
-def _lists(arrays: list[np.ndarray]) -> pa.Array:
+def _lists(arrays: list[np.ndarray], kind: type = np.int64) -> pa.Array:
     ends = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
-    flat = np.concatenate(arrays) if arrays else np.empty(0, np.uint64)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))
+    flat = np.concatenate(arrays).view(kind) if arrays else np.empty(0, kind)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
 
 def frequencies(docs: DataFrame, k: int) -> np.ndarray:
@@ -90,7 +99,7 @@ def frequencies(docs: DataFrame, k: int) -> np.ndarray:
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 np.add.at(found, (shingles(text, k) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
-        task = TaskContext.get().partitionId() // 64
+        task = TaskContext.get().partitionId() // FAN
         for b in range(size // block):
             part = found[b * block : (b + 1) * block]
             if part.any():
@@ -104,7 +113,9 @@ def frequencies(docs: DataFrame, k: int) -> np.ndarray:
         return pa.table({"block": rows["block"][:1], "salt": rows["salt"][:1], "data": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
     kind = "block int, salt int, data binary"
-    parts = text_batches(docs).select("text").mapInArrow(count, kind).groupBy("block", "salt").applyInArrow(add, kind)
+    parts = text_batches(docs).select("text").mapInArrow(count, kind)
+    for _ in range(LEVELS):  # a tree: no group holds more than FAN blobs of a block
+        parts = parts.groupBy("block", "salt").applyInArrow(add, kind).withColumn("salt", F.floor(F.col("salt") / FAN).cast("int"))
     out = np.zeros(size, np.uint64)
     for row in parts.groupBy("block").applyInArrow(add, kind).collect():
         out[row["block"] * block : (row["block"] + 1) * block] = np.frombuffer(zlib.decompress(row["data"]), np.uint64)
@@ -112,24 +123,40 @@ def frequencies(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, k: int, percent: int, rank: np.ndarray) -> DataFrame:
-    """doc_id, n, h1, h2 (a 128-bit name of the set) and the prefix under the frequency order."""
+    """doc_id, n, h1, h2 (a 128-bit name of the set), the prefix under the frequency order, and under each other order its tokens' 32-bit names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, names, first = [], [], []
+            n, names, first, others = [], [], [], [[] for _ in ORDERS]
             for text in batch.column(1).to_pylist():
                 s = shingles(text, k)
+                p = prefix_size(len(s), percent) if len(s) else 0
                 n.append(len(s))
                 names.append(np.frombuffer(xxh3_128_digest(s.tobytes()), np.int64))
                 by = rank[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-                first.append(s[np.argsort(by, kind="stable")[: prefix_size(len(s), percent)]] if len(s) else s)
+                first.append(s[np.argsort(by, kind="stable")[:p]])
+                for odd, found in zip(ORDERS, others, strict=True):
+                    turned = s * np.uint64(odd)
+                    turned = np.partition(turned, p - 1)[:p] if p < len(turned) else turned
+                    found.append(np.sort((turned * _MIX[0] >> np.uint64(32)).astype(np.uint32)))
             two = np.array(names, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(two[:, 0]), pa.array(two[:, 1]), _lists(first)],
-                names=["doc_id", "n", "h1", "h2", "prefix"],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(two[:, 0]), pa.array(two[:, 1]), _lists(first), *(_lists(x, np.int32) for x in others)],
+                names=["doc_id", "n", "h1", "h2", "prefix", *OTHERS],
             )
 
-    return text_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, n long, h1 long, h2 long, prefix array<long>")
+    kind = "doc_id long, n long, h1 long, h2 long, prefix array<long>, " + ", ".join(f"{o} array<int>" for o in OTHERS)
+    return text_batches(docs).select("doc_id", "text").mapInArrow(run, kind)
+
+
+def meeting(pairs: DataFrame, sides: DataFrame) -> DataFrame:
+    """The pairs (a, b) that share a prefix token under every order of ORDERS; sides: id and a prefix per order."""
+    out = pairs
+    for s in ("a", "b"):
+        out = out.join(sides.select(F.col("id").alias(s), *[F.col(o).alias(f"{s}_{o}") for o in OTHERS]), s)
+    for o in OTHERS:
+        out = out.where(F.arrays_overlap(f"a_{o}", f"b_{o}"))
+    return out.select("a", "b").distinct()
 
 
 def whole_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -150,21 +177,13 @@ def _views(column: pa.Array) -> list[np.ndarray]:
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    """Whether two sets share a prefix token under every order of ORDERS and reach the similarity."""
-    for odd in ORDERS:
-        first = []
-        for s in (x, y):
-            p = prefix_size(len(s), percent)
-            turned = s * np.uint64(odd)
-            first.append(np.partition(turned, p - 1)[:p] if p < len(s) else turned)
-        if not len(np.intersect1d(*first, assume_unique=True)):
-            return False
+    """Whether two sets reach the similarity."""
     same = len(np.intersect1d(x, y, assume_unique=True))
     return 100 * same >= percent * (len(x) + len(y) - same)
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that pass the other orders' filters and reach the similarity."""
+    """The pairs (a, b) that reach the similarity."""
     side = lambda s: sets.select(F.col("id").alias(s), F.col("tokens").alias(f"{s}_tokens"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_tokens", "b_tokens")
 
@@ -197,7 +216,12 @@ def _pairwise(index: DataFrame, percent: int, names: tuple[str, ...], apart: Col
     return x.join(y, (x["token"] == y["token"]) & (also if apart is None else also & apart))
 
 
-def links(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+def _told(report: dict | None, name: str, pairs: DataFrame) -> None:
+    if report is not None:
+        report[name] = report.get(name, 0) + pairs.count()
+
+
+def links(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, report: dict | None = None) -> tuple[DataFrame, DataFrame]:
     """The whole join: (links, members); docs has doc_id and text.
 
     links: a, b (two classes, a < b) and a_doc, b_doc (their smallest doc_ids), one row for each pair
@@ -208,33 +232,38 @@ def links(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> tuple[Data
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows = scratch.save(prefixes(docs, k, percent, frequencies(docs, k)).where("n > 0 and doc_id is not null"), "rows")
     # texts of one doc_id may be of several classes, so a class has a number of its own
-    reps = rows.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("doc_id"), F.first("prefix").alias("prefix"))
+    reps = rows.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("prefix", *OTHERS)])
     reps = scratch.save(reps.withColumn("id", F.monotonically_increasing_id()), "reps")
     index = reps.select("id", "n", F.posexplode("prefix").alias("pos", "token")).withColumn("short", F.col("pos") < _short_prefix(F.col("n"), percent))
     shared = index.groupBy("token").agg(F.count("*").alias("c"), F.max("short").alias("s")).where("c > 1 and s").select("token")
     index = scratch.save(index.join(sized(scratch.save(shared, "shared")), "token"), "index")
     pairs = _pairwise(index, percent, ("id", "n", "pos")).select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"))
-    pairs = scratch.save(pairs.distinct(), "pairs")
+    found = scratch.save(pairs.distinct(), "found-pairs")
+    pairs = scratch.save(meeting(found, reps), "pairs")
+    _told(report, "candidates", found)
+    _told(report, "under every order", pairs)
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     some = scratch.save(reps.join(ids, "id").select("id", "doc_id", "h1", "h2"), "some")
     sets = whole_sets(docs.join(sized(some.select("doc_id").distinct()), "doc_id", "left_semi"), k).withColumnRenamed("id", "doc_id")
     sets = scratch.save(sets.join(sized(some), ["doc_id", "h1", "h2"]).select("id", "tokens").dropDuplicates(["id"]), "sets")
     found = scratch.save(linked(pairs, sets, percent), "links")
+    _told(report, "linked", found)
     for s in ("a", "b"):
         found = found.join(some.select(F.col("id").alias(s), F.col("doc_id").alias(f"{s}_doc")), s)
     found = scratch.save(found.select("a", "b", "a_doc", "b_doc"), "found")
     members = rows.select("doc_id", "h1", "h2", "n").distinct().join(reps.select("h1", "h2", "n", "id"), ["h1", "h2", "n"])
     members = scratch.save(members.select("doc_id", F.col("id").alias("class"), F.col("n").alias("n_shingles")), "members")
-    scratch.drop("rows", "reps", "shared", "index", "pairs", "some", "sets", "links")
+    scratch.drop("rows", "reps", "shared", "index", "found-pairs", "pairs", "some", "sets", "links")
     return found, members
 
 
-def classes(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def classes(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, report: dict | None = None) -> DataFrame:
     """doc_id, n_shingles and component_id of every row, of links enough to tell components; docs has doc_id and text."""
     scratch = Scratch(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rank = frequencies(docs, k)
     rows = scratch.save(prefixes(docs, k, percent, rank), "rows")
+    sides = rows.where("n > 0 and doc_id is not null").select(F.col("doc_id").alias("id"), *OTHERS)
     some = rows.where("n > 0 and doc_id is not null").select("h1", "h2", "n", "doc_id")
     named = scratch.save(some.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("id")), "named")
     # of each class only the smallest id is indexed; the few others are told by a small table, so that prefixes stay where they are
@@ -256,10 +285,15 @@ def classes(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFram
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         pairs = scratch.save(pairs, f"pairs-{name}")
-        ids = scratch.save(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), f"ids-{name}")
+        both = lambda p: p.select(F.col("a").alias("id")).unionByName(p.select(F.col("b").alias("id"))).distinct()
+        ids = scratch.save(both(pairs), f"ids-{name}")
+        met = scratch.save(meeting(pairs, sides.join(sized(ids), "id", "left_semi")), f"met-{name}")
+        ids = scratch.save(both(met).withColumnRenamed("id", "doc_id"), f"met-ids-{name}")
         sets = scratch.save(whole_sets(docs.join(sized(ids), "doc_id", "left_semi"), k), f"sets-{name}")
-        new = scratch.save(linked(pairs, sets, percent), f"links-{name}")
-        scratch.drop(f"sets-{name}", f"ids-{name}")
+        new = scratch.save(linked(met, sets, percent), f"links-{name}")
+        for what, some in (("candidates", pairs), ("under every order", met), ("linked", new)):
+            _told(report, what, some)
+        scratch.drop(*[f"{what}-{name}" for what in ("sets", "ids", "met", "met-ids")])
         seen = pairs if seen is None else seen.unionByName(pairs)
         links = new if links is None else links.unionByName(new)
 

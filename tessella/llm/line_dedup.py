@@ -1,13 +1,11 @@
 """Operator 8, line dedup: deletion-neighbourhood join over words [native].
 
-A line is what ``\\n`` splits off, without white space around it; its words are what
+A line is what ``\n`` splits off, without white space around it; its words are what
 white space separates, and each code point of a script that is written without blanks
 (SCRIPTS). Of equal lines that are not blank, the earliest (by doc_id, then place) stays;
-likewise of lines of NEAR_WORDS words or more that one edit of a word (change, insert,
-delete) turns into another, or that have the same words.
-
-The op8 query is bound by its SQL to less (``by_sql``): words are what the blank 0x20
-separates, and lines of fewer than MIN_WORDS of them always stay.
+likewise of lines of ``near_words`` words or more that one edit of a word (change, insert,
+delete) turns into another, or that have the same words. ``near_words`` (NEAR_WORDS where
+none is given) may be any number from 1: below some words, one edit makes another line.
 
 1. Lines become hashes; equal lines become one, with its earliest place.
 2. Two lines within one edit share their first or last half; lines that share no half
@@ -25,19 +23,23 @@ Keys of before and behind are chained over blocks of BLOCK words, so a line of n
 costs n * (BLOCK + n / BLOCK) hash steps.
 
 Defined results: null texts stay null, empty texts empty; blank lines always stay; rows
-with null doc_id keep all lines and take no part; rows of one doc_id are one document: a line that is first in it stays in each of them.
-A text whose lines all go is empty. Line ends stay as they are between lines that stay.
+with null doc_id keep all lines and take no part; rows of one doc_id are one document: a
+line that is first in it stays in each of them. A text whose lines all go is empty. Line ends stay as they
+are between lines that stay. Very long texts and lines are taken whole. An empty table
+gives no rows. Extra columns are kept in ``row``, whatever their names.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, let, sized, table
 
-#: Words of a line that may go at all by the SQL of the op8 query, and of one that may go for a near copy.
-MIN_WORDS, NEAR_WORDS = 3, 10
+#: Words of a line that may go for a near copy, where no other number is given.
+NEAR_WORDS = 10
 #: Code points of scripts without blanks between words: Thai, Lao, Myanmar, Khmer, kana, Han.
 SCRIPTS = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3041-\u30FF\u31F0-\u31FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\uFF66-\uFF9F\x{20000}-\x{3FFFF}"
 BLOCK = 64
@@ -55,22 +57,20 @@ def spaced(line: Column) -> Column:
     return F.when(apart.rlike(r"[\t\x0B\f\r]|  |^ | $"), F.btrim(F.regexp_replace(apart, r"[\x20\t\x0B\f\r]+", " "))).otherwise(apart)
 
 
-def _half(side: int, m: Column) -> Column:
+def _half(side: int, m: Column, near_words: int) -> Column:
     """Key of the first (0) or last (1) half of a line that is the shorter (m = n) or longer (m = n - 1) of two."""
-    g = F.floor((m - 1) / 2).cast("int")
-    return F.when(F.col("n") >= NEAR_WORDS, F.xxhash64(F.lit(side), m, F.call_function("substring_index", F.col("spaced"), F.lit(" "), -g if side else g)))
+    g = F.greatest(F.floor((m - 1) / 2).cast("int"), F.lit(0))
+    return F.when(m >= near_words, F.xxhash64(F.lit(side), m, F.call_function("substring_index", F.col("spaced"), F.lit(" "), -g if side else g)))
 
 
-def lines(docs: DataFrame, by_sql: bool = False) -> DataFrame:
-    """doc_id, pos, h1, h2 (a 128-bit name of the line) and half keys of each line that is not blank (by_sql: of MIN_WORDS words or more)."""
+def lines(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
+    """doc_id, pos, h1, h2 (a 128-bit name of the line) and half keys of each line that is not blank."""
     one = docs.where("doc_id is not null and text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     one = one.select("doc_id", "pos", bare(F.col("line")).alias("bare")).where("bare <> ''")
-    one = one.withColumn("spaced", F.col("bare") if by_sql else spaced(F.col("bare")))
+    one = one.withColumn("spaced", spaced(F.col("bare")))
     one = one.withColumn("n", F.octet_length("spaced") - F.octet_length(F.replace("spaced", F.lit(" "), F.lit(""))) + 1)
-    if by_sql:
-        one = one.where(F.col("n") >= MIN_WORDS)
     n = F.col("n")
-    halves = [_half(0, n).alias("k0"), _half(1, n).alias("k1"), _half(0, n - 1).alias("k2"), _half(1, n - 1).alias("k3")]
+    halves = [_half(k % 2, n - k // 2, near_words).alias(f"k{k}") for k in range(4)]
     return one.select("doc_id", "pos", F.xxhash64("bare").alias("h1"), F.xxhash64(F.lit(1), "bare").alias("h2"), *halves)
 
 
@@ -119,9 +119,9 @@ def within_one_edit(a: Column, b: Column) -> Column:
     return let(F.struct(F.when(longer, b).otherwise(a).alias("short"), F.when(longer, a).otherwise(b).alias("long")), of)
 
 
-def gone(docs: DataFrame, scratch: Scratch, by_sql: bool = False) -> DataFrame:
+def gone(docs: DataFrame, scratch: Scratch, near_words: int = NEAR_WORDS) -> DataFrame:
     """doc_id, pos and h1 of the lines that go; docs has doc_id and text."""
-    every = scratch.save(lines(docs, by_sql), "lines")
+    every = scratch.save(lines(docs, near_words), "lines")
     first = every.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("at"), F.count("*").alias("c"), *[F.first(k).alias(k) for k in HALVES])
     first = scratch.save(first.select("h1", "h2", F.col("at.doc_id").alias("doc_id"), F.col("at.pos").alias("pos"), "c", *HALVES), "first")
     half = first.where("k0 is not null").select("h1", "h2", F.posexplode(F.array(*HALVES)).alias("side", "half"))
@@ -134,10 +134,10 @@ def gone(docs: DataFrame, scratch: Scratch, by_sql: bool = False) -> DataFrame:
     texts = docs.join(holders, "doc_id", "left_semi").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     texts = texts.join(sized(near), ["doc_id", "pos"]).withColumn("bare", bare(F.col("line")))
     texts = texts.where((F.xxhash64("bare") == F.col("h1")) & (F.xxhash64(F.lit(1), "bare") == F.col("h2")))
-    near = texts.select("h1", "h2", "doc_id", "pos", "head", "tail", F.split(F.col("bare") if by_sql else spaced(F.col("bare")), " ").alias("ws"))
+    near = texts.select("h1", "h2", "doc_id", "pos", "head", "tail", F.split(spaced(F.col("bare")), " ").alias("ws"))
     near = scratch.save(near.dropDuplicates(["h1", "h2"]), "words")
     n = F.size("ws")
-    g = F.floor((n - 2) / 2).cast("int")
+    g = F.greatest(F.floor((n - 2) / 2).cast("int"), F.lit(0))
     keys = near.select("h1", "h2", "doc_id", "pos", F.explode(_variants(F.col("ws"), F.when(F.col("tail"), 0).otherwise(g), F.when(F.col("head"), n).otherwise(n - g))).alias("key"))
     shared = scratch.save(keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "keys")
     keys = scratch.save(keys.join(sized(shared), "key", "left_semi"), "shared")
@@ -163,12 +163,15 @@ def _mark(pos: Column, h1: Column) -> Column:
     return F.shiftleft(pos.cast("long"), 32).bitwiseOR(h1.bitwiseAND(F.lit(0xFFFFFFFF)))
 
 
-def dedup(docs: DataFrame, by_sql: bool = False) -> DataFrame:
-    """row (a struct of docs' columns, with the new ``text``), n_lines and n_removed for each row of docs; by_sql: as the op8 query's SQL has it."""
+def dedup(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
+    """row (a struct of docs' columns, with the new ``text``), n_lines, n_removed and share_removed for each row of docs.
+
+    share_removed is the share of a text's code points, line ends left out, that were on lines that went (0 for empty texts).
+    """
     scratch = Scratch(docs.sparkSession)
-    found = gone(docs.select("doc_id", "text"), scratch, by_sql)
+    found = gone(docs.select("doc_id", "text"), scratch, near_words)
     marks = found.groupBy("doc_id").agg(F.collect_set(_mark(F.col("pos"), F.col("h1"))).alias("gone"))
-    marks = sized(scratch.save(marks, "marks"), values=F.size("gone"))
+    marks = sized(scratch.save(marks, "marks"))
     out = docs.select("doc_id", "text", F.struct("*").alias("row")).join(marks, "doc_id", "left")
 
     def kept(ls: Column) -> Column:
@@ -182,21 +185,24 @@ def dedup(docs: DataFrame, by_sql: bool = False) -> DataFrame:
     split = F.split("text", "\n")
     new = F.when(F.col("gone").isNotNull() & F.col("text").isNotNull(), let(split, kept))
     out = out.select("row", F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("long").alias("n_lines"), "text", new.alias("new"))
+    bulk = lambda t: F.length(t) - F.length(F.regexp_replace(t, "[^\n]+", ""))
+    share = F.when(F.col("new.n") > 0, 1 - bulk(F.col("new.text")) / F.greatest(bulk(F.col("text")), F.lit(1)))
     fields = [F.coalesce("new.text", "text").alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns]
-    return out.select(F.struct(*fields).alias("row"), "n_lines", F.coalesce("new.n", F.lit(0).cast("long")).alias("n_removed"))
+    return out.select(F.struct(*fields).alias("row"), "n_lines", F.coalesce("new.n", F.lit(0).cast("long")).alias("n_removed"), F.coalesce(share, F.lit(0.0)).alias("share_removed"))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), by_sql=True).select("row.*", "n_lines", "n_removed")
+    return dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select("row.*", "n_lines", "n_removed")
 
 
+_RE2 = re.sub(r"\\u(\w{4})", r"\\x{\1}", SCRIPTS)
 ORACLE = {
-    "op8_line_dedup": r"""
+    "op8_line_dedup": rf"""
     with t as (select doc_id, text, string_split(text, chr(10)) as ls from documents),
     ln as (select doc_id, i as pos, trim(ls[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as b from t, unnest(range(1, len(ls) + 1)) u(i)),
-    k as (select *, len(string_split(b, ' ')) as n from ln where b <> '' and len(string_split(b, ' ')) >= 3),
-    f as (select b, any_value(n) as n, min((doc_id, pos)) as fst from k group by b),
-    h as (select b, n, fst, string_split(b, ' ') as ws from f where n >= 10),
+    k as (select * from ln where b <> ''),
+    f as (select b, min((doc_id, pos)) as fst, string_split(trim(regexp_replace(regexp_replace(b, '([{_RE2}])', ' \1 ', 'g'), '[\x20\t\x0B\f\r]+', ' ', 'g'), ' '), ' ') as ws from k group by b),
+    h as (select b, len(ws) as n, fst, ws from f where len(ws) >= {NEAR_WORDS}),
     g as (select b, fst, n - 1 as m, i, hash(ws[1:i - 1]) as p, hash(ws[i + 1:]) as q from h, unnest(range(1, n + 1)) u(i) union all select b, fst, n, i, hash(ws[1:i - 1]), hash(ws[i:]) from h, unnest(range(1, n + 2)) u(i)),
     e as (select m, i, p, q, min(fst) as first from g group by all having count(*) > 1), near as (select distinct b from g join e using (m, i, p, q) where g.fst <> e.first),
     gone as (select doc_id, pos from k join f using (b) where (doc_id, pos) <> f.fst or b in (select b from near)),

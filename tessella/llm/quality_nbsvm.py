@@ -40,7 +40,7 @@ _RUNS = [(re.compile(r"[A-ZÀ-ÖØ-Þ]+"), "A"), (re.compile(r"[a-zß-öø-ÿ]+"
 def shape(word: str) -> str:
     for pattern, to in _RUNS:
         word = pattern.sub(to, word)
-    return word[:12]
+    return word
 
 
 class Indicators:

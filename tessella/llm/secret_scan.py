@@ -2,14 +2,23 @@
 
 Parts of a credential (identifier, secret, endpoint) are found with their code
 point spans. Strong parts are reported as they are. Weak parts are reported only
-where complementary parts co-occur: every part owns the interval of REACH code
-points around it, cut to its scope (a paragraph: text between blank lines), and an
-interval join within the text finds parts of other roles whose spans meet it:
-a weak secret needs an identifier or an endpoint, a weak identifier needs a
-secret, an endpoint needs a secret and an identifier.
+where complementary parts co-occur: an interval join within a scope (a paragraph: text
+between blank lines) finds parts of other roles. A weak secret needs an identifier or
+an endpoint, a weak identifier needs a secret, an endpoint needs a secret and an
+identifier; parts that complete one another share no character. A weak secret within
+an endpoint (a key in an ordinary URL) needs an identifier: another URL is no complement.
+Within an endpoint, ``/`` ends an opaque token.
+
+The join needs no pairs: a part has a disjoint partner in its scope if one ends before
+it begins or begins behind its end, so the least end and the greatest start of a role
+in a scope decide. For endpoints the same holds of disjoint pairs of a secret and an
+identifier.
 
 Defined results: null text is empty; empty texts have no spans (the digest of an
-empty string); rows are scanned one by one, so repeated rows get equal results.
+empty string); an empty table gives no rows; rows are scanned one by one, so repeated
+rows get equal results; very long texts are scanned whole, in time that grows with
+their length; spans that start together are ordered by kind, then end; extra columns
+are ignored by ``scan`` and kept by ``redact``, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,6 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import table, text_batches
 
+Span = tuple[int, int]
 _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.A | re.I)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
@@ -33,15 +43,18 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 BASE = ("assign", "access", "hex")
 #: Kinds that the method may add.
 WEAK = ("weak_secret", "weak_id", "endpoint")
-#: Code points on either side of a part within which others complete it.
-REACH = 240
+#: Least code points of an opaque token.
+OPAQUE = 20
 
 _WEAK_ID = re.compile(r"(?:user(?:name)?|login|account|client_?id|key_?id)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9@._-]{3,}", re.A | re.I)
 _ENDPOINT = re.compile(r"[a-z][a-z0-9+.-]{1,20}://[^\s\"'<>]{4,}|(?:host|endpoint|server)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9.:-]{4,}", re.A | re.I)
-_OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
+_OPAQUE = re.compile(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{{{OPAQUE},}}={{0,2}}(?![A-Za-z0-9+/_=-])")
+_BLANK = re.compile(r"\n[ \t]*\n")
+_MIXED = re.compile(r"[0-9][A-Za-z]|[A-Za-z][0-9]")
+_NEVER, _AFTER = -1, 1 << 62
 
 
-def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
+def base_spans(text: str) -> dict[str, list[Span]]:
     return {
         "assign": [m.span() for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 12],
         "access": [m.span() for m in _ACCESS.finditer(text) if m.end() - m.start() >= 18],
@@ -50,49 +63,85 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 
 
 def _opaque(token: str) -> bool:
-    """Digits, lower and upper case letters together, as keys have and words have not."""
-    return any(c.isdigit() for c in token) and any(c.islower() for c in token) and any(c.isupper() for c in token)
-
-
-def _scopes(text: str) -> list[int]:
-    return [0, *(m.end() for m in re.finditer(r"\n[ \t]*\n", text)), len(text) + 1]
-
-
-def weak_spans(text: str, base: dict[str, list[tuple[int, int]]]) -> dict[str, list[tuple[int, int]]]:
-    """Weak parts that complementary parts complete."""
-    taken = sorted(s for kind in BASE for s in base[kind])
-    free = lambda s: not any(a < s[1] and s[0] < b for a, b in taken[max(0, bisect_left(taken, s) - 3) : bisect_right(taken, (s[1], 0)) + 1])
-    weak_secret = [m.span() for m in _ASSIGN.finditer(text) if 6 <= m.end(2) - m.start(2) < 12]
-    weak_secret += [m.span() for m in _OPAQUE.finditer(text) if _opaque(m[0]) and not m[0].startswith("AKIA")]
-    weak_secret = sorted(s for s in weak_secret if free(s))
-    weak_id = [m.span() for m in _WEAK_ID.finditer(text) if free(m.span())]
-    endpoint = [m.span() for m in _ENDPOINT.finditer(text) if free(m.span())]
-    if not (weak_secret or weak_id or endpoint):
+    """Lower and upper case letters, and digits that touch letters: as keys have, and words, titles and years have not."""
+    return bool(_MIXED.search(token)) and any(c.islower() for c in token) and any(c.isupper() for c in token)
+
+
+class Spans:
+    """Spans by start, with running maxima of their ends."""
+
+    def __init__(self, spans: list[Span]):
+        self.all = sorted(spans)
+        self.starts, self.reach = [s for s, _ in self.all], list(accumulate((e for _, e in self.all), max))
+
+    def meets(self, start: int, end: int) -> bool:
+        """Whether a span shares a character with start:end."""
+        k = bisect_left(self.starts, end)
+        return k > 0 and self.reach[k - 1] > start
+
+
+def _opaque_spans(text: str, tokens: list[Span], ends: Spans) -> list[Span]:
+    """Tokens that are opaque; those that meet an endpoint are cut at slashes."""
+    out = []
+    for s, e in tokens:
+        if "/" in text[s:e] and ends.meets(s, e):
+            pieces = [(s + p.start(), s + p.end()) for p in re.finditer("[^/]+", text[s:e])]
+        else:
+            pieces = [(s, e)]
+        out += [(a, b) for a, b in pieces if b - a >= OPAQUE and _opaque(text[a:b]) and not text.startswith("AKIA", a)]
+    return out
+
+
+class Scope:
+    """What decides about partners within one scope: a role's least end and greatest start."""
+
+    def __init__(self, secrets: list[Span], ids: list[Span], ends: list[Span]):
+        self.first, self.last = {}, {}
+        for role, spans in (("secret", secrets), ("id", ids), ("endpoint", ends)):
+            self.first[role] = min((e for _, e in spans), default=_AFTER)
+            self.last[role] = max((s for s, _ in spans), default=_NEVER)
+        # disjoint pairs of a secret and an identifier: the least end and the greatest start of all of them
+        two = ((secrets, "id"), (ids, "secret"))
+        self.pair_end = min((e for spans, other in two for s, e in spans if s >= self.first[other]), default=_AFTER)
+        self.pair_start = max((s for spans, other in two for s, e in spans if e <= self.last[other]), default=_NEVER)
+
+    def has(self, role: str, span: Span) -> bool:
+        """Whether a part of the role shares no character with the span."""
+        return self.first[role] <= span[0] or self.last[role] >= span[1]
+
+    def has_pair(self, span: Span) -> bool:
+        """Whether a secret and an identifier, disjoint from one another, share no character with the span."""
+        around = self.first["secret"] <= span[0] and self.last["id"] >= span[1] or self.first["id"] <= span[0] and self.last["secret"] >= span[1]
+        return around or self.pair_end <= span[0] or self.pair_start >= span[1]
+
+
+def weak_spans(text: str, base: dict[str, list[Span]]) -> dict[str, list[Span]]:
+    """Weak parts that complementary parts of their scope complete."""
+    short = [m.span() for m in _ASSIGN.finditer(text) if 6 <= m.end(2) - m.start(2) < 12]
+    tokens = [m.span() for m in _OPAQUE.finditer(text) if _opaque(m[0])]
+    if not (base["assign"] or base["hex"] or short or tokens):  # every weak part needs a secret
         return {k: [] for k in WEAK}
-    roles = {
-        "secret": sorted(base["assign"] + base["hex"] + weak_secret),
-        "id": sorted(base["access"] + weak_id),
-        "endpoint": endpoint,
-    }
-    starts = {r: [s[0] for s in spans] for r, spans in roles.items()}
-    reached = {r: list(accumulate((s[1] for s in spans), max)) for r, spans in roles.items()}
-    edges = _scopes(text)
-
-    def meets(span: tuple[int, int], role: str) -> bool:
-        """Interval join: does a part of this role meet the span's interval within its scope?"""
-        k = bisect_right(edges, span[0]) - 1
-        lo, hi = max(edges[k], span[0] - REACH), min(edges[k + 1], span[1] + REACH)
-        at = bisect_left(starts[role], hi)  # parts of earlier scopes end before this scope begins
-        return at > 0 and reached[role][at - 1] > lo
-
+    taken = Spans([s for kind in BASE for s in base[kind]])
+    free = lambda spans: sorted(s for s in spans if not taken.meets(*s))
+    endpoint = free(m.span() for m in _ENDPOINT.finditer(text))
+    ends = Spans(endpoint)
+    weak_secret = free(short + _opaque_spans(text, tokens, ends))
+    weak_id = free(m.span() for m in _WEAK_ID.finditer(text))
+    edges = [0, *(m.end() for m in _BLANK.finditer(text))]
+    inside: dict[int, tuple[list[Span], list[Span], list[Span]]] = {}
+    for role, spans in enumerate((base["assign"] + base["hex"] + weak_secret, base["access"] + weak_id, endpoint)):
+        for s in spans:
+            inside.setdefault(bisect_right(edges, s[0]), ([], [], []))[role].append(s)
+    scopes = {k: Scope(*parts) for k, parts in inside.items()}
+    scope = lambda s: scopes[bisect_right(edges, s[0])]
     return {
-        "weak_secret": [s for s in weak_secret if meets(s, "id") or meets(s, "endpoint")],
-        "weak_id": [s for s in weak_id if meets(s, "secret")],
-        "endpoint": [s for s in endpoint if meets(s, "secret") and meets(s, "id")],
+        "weak_secret": [s for s in weak_secret if scope(s).has("id", s) or not ends.meets(*s) and scope(s).has("endpoint", s)],
+        "weak_id": [s for s in weak_id if scope(s).has("secret", s)],
+        "endpoint": [s for s in endpoint if scope(s).has_pair(s)],
     }
 
 
-def _joined(spans: dict[str, list[tuple[int, int]]], kinds: tuple[str, ...]) -> str:
+def _joined(spans: dict[str, list[Span]], kinds: tuple[str, ...]) -> str:
     rows = sorted((s, k, e) for k, kind in enumerate(kinds) for s, e in spans[kind])
     return ",".join(f"{kinds[k]}:{s}:{e}" for s, k, e in rows)
 
