@@ -162,6 +162,43 @@ def equalised(x: np.ndarray, grid: int = 8, limit: float = 2.0) -> np.ndarray:
     return (1 - ty) * ((1 - tx) * at(y0, x0) + tx * at(y0, x1)) + ty * ((1 - tx) * at(y1, x0) + tx * at(y1, x1))
 
 
+def shifted(x: np.ndarray, weights: dict[tuple[int, int], float]) -> np.ndarray:
+    """Weighted sum over (dy, dx) neighbours, mirrored at borders."""
+    (h, w), p = x.shape, np.pad(x, 1, mode="reflect")
+    return sum(v * p[1 + dy : 1 + dy + h, 1 + dx : 1 + dx + w] for (dy, dx), v in weights.items())
+
+
+def laplacian(x: np.ndarray) -> np.ndarray:
+    return shifted(x, {(-1, 0): 1, (1, 0): 1, (0, -1): 1, (0, 1): 1, (0, 0): -4})
+
+
+def saliency(x: np.ndarray, size: int = 5, boost: float = 3.0) -> np.ndarray:
+    """1 on flat ground, up to 1 + boost where a pixel outshines its window (zero-padded)."""
+    bright = np.maximum(x - box(x, size, "zero"), 0)
+    return 1 + boost * np.clip(bright / max(np.percentile(bright, 99.5), 1e-5), 0, 1)
+
+
+def sharpness(x: np.ndarray, size: int = 5, scale: float = 1.0) -> np.ndarray:
+    """Edge energy times the coherence of its direction, from the structure tensor."""
+    kx = {(dy, dx): dx * (2 - abs(dy)) for dy in (-1, 0, 1) for dx in (-1, 1)}
+    gx, gy = shifted(x, kx), shifted(x, {(dx, dy): v for (dy, dx), v in kx.items()})
+    xx, yy, xy = (box(g, size, "zero") for g in (gx * gx, gy * gy, gx * gy))
+    energy = xx + yy
+    coherence = np.clip(np.sqrt((xx - yy) ** 2 + 4 * xy * xy + 1e-12) / (energy + 1e-5), 0, 1)
+    return np.clip(energy / (energy + scale), 0, 1) * coherence
+
+
+def ssim(a: np.ndarray, b: np.ndarray, size: int = 7) -> float:
+    """Mean structural similarity over size x size windows."""
+    mx, my, xx, yy, xy = (box(v, size) for v in (a, b, a * a, b * b, a * b))
+    top = (2 * mx * my + 1e-4) * (2 * (xy - mx * my) + 9e-4)
+    return float((top / ((mx * mx + my * my + 1e-4) * ((xx - mx * mx) + (yy - my * my) + 9e-4) + 1e-8)).mean())
+
+
+def gradient_loss(a: np.ndarray, b: np.ndarray) -> float:
+    return float(sum(np.abs(np.diff(a, axis=k) - np.diff(b, axis=k)).mean() for k in (0, 1)))
+
+
 def _triangle(n: int, m: int) -> np.ndarray:
     """m x n weights of a linear filter that widens when it shrinks."""
     scale = max(n / m, 1.0)

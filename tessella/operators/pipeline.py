@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,10 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
+from .batches import Rows, schema_of, views
 
+#: Names of the speckle filters and of the modes of histogram mapping.
+SPECKLE_METHODS = ("lee", "frost", "bm3d", "refined_lee", "gamma_map")
+HISTOGRAM_MODES = ("sar_only", "unpaired_optical_reference", "preset")
 RESULT = (
     "img long, status string, error string, orig_h int, orig_w int, out_h int, out_w int, channels int, steps string, enl double, warnings array<string>, "
-    "p01 double, p50 double, p99 double, p998 double, zero_ratio double, data array<double>"
+    "p01 double, p50 double, p99 double, p998 double, zero_ratio double, elapsed_sec double, data array<double>"
 )
 
 
@@ -81,32 +86,32 @@ def process(x: np.ndarray, steps: list[dict], target=None) -> tuple[np.ndarray |
 
 
 def run(images: DataFrame, spec: list[dict], target: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
-    """images (img, h, w, data) through the steps, one pass and no shuffle; target is a bounded (x, cdf) curve."""
+    """images (img, h, w, data) through the steps, one pass and no shuffle; target is a bounded (x, cdf) curve.
+
+    A worker holds the Arrow batch it reads and results of about PIXELS numbers.
+    """
     steps = json.loads(json.dumps(built(spec)))
-    names = "|".join(s["name"] for s in steps)
+    names, schema = "|".join(s["name"] for s in steps), schema_of(RESULT)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Rows(schema)
         for batch in batches:
-            rows = []
-            for img, h, w, data in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                broken = data is None or not h or not w or len(data) != h * w
-                x, ctx = (None, {"status": "failed", "error": "image can't be decoded", "warnings": [], "enl": None}) if broken else process(np.array([np.nan if v is None else v for v in data], float).reshape(h, w), steps, target)
+            for img, h, w, data in zip(*(batch.column(k).to_pylist() for k in range(3)), views(batch.column(3)), strict=True):
+                began = time.perf_counter()
+                broken = data is None or not h or not w or data.size != h * w
+                x, ctx = (None, {"status": "failed", "error": "image can't be decoded", "warnings": [], "enl": None}) if broken else process(data.reshape(h, w), steps, target)
                 row = {"img": img, "status": ctx["status"], "error": ctx["error"], "orig_h": h, "orig_w": w, "steps": names, "enl": ctx["enl"], "warnings": ctx["warnings"]}
                 if x is not None:
                     unit = x / 255 if x.size and x.max() > 1 else x
                     p = np.round(np.percentile(unit, [1, 50, 99, 99.8]), 3)
-                    row |= {"out_h": x.shape[0], "out_w": x.shape[1], "channels": 1 if x.ndim == 2 else x.shape[2], "zero_ratio": round(float((unit <= 1e-4).mean()), 4), "data": x.ravel().tolist()}
+                    row |= {"out_h": x.shape[0], "out_w": x.shape[1], "channels": 1 if x.ndim == 2 else x.shape[2], "zero_ratio": round(float((unit <= 1e-4).mean()), 4), "data": x.ravel()}
                     row |= dict(zip(("p01", "p50", "p99", "p998"), p.tolist(), strict=True))
-                rows.append(row)
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
-
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
+                yield from out.add(row | {"elapsed_sec": round(time.perf_counter() - began, 3)})
+        yield from out.rest()
 
-    schema = to_arrow_schema(_parse_datatype_string(RESULT))
     return images.select(F.col("img").cast("long"), F.col("h").cast("int"), F.col("w").cast("int"), F.col("data").cast("array<double>")).mapInArrow(go, RESULT)
 
 
 def manifest(results: DataFrame) -> DataFrame:
-    """The rows of a run without the images."""
-    return results.drop("data", "warnings")
+    """The rows of a run without the images and the time they took."""
+    return results.drop("data", "warnings", "elapsed_sec")

@@ -10,18 +10,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import schema_of, views
+
 REGION = "img long, region int, cx double, cy double, width double, height double, angle_deg double, area long, rectangularity double, polygon array<array<double>>"
 
 
 def otsu(u: np.ndarray) -> int:
-    """The level that separates the histogram of 0..255 best; pixels above it are bright."""
+    """The level that separates the histogram of 0..255 best, the lowest among equals; pixels above it are bright."""
     c = np.bincount(u.ravel().astype(int), minlength=256).astype(float)
     low, mass = np.cumsum(c), np.cumsum(c * np.arange(256))
     high = low[-1] - low
     with np.errstate(divide="ignore", invalid="ignore"):
         gap = mass / low - (mass[-1] - mass) / high
         spread = np.nan_to_num(low * high * gap * gap)
-    return int(spread.argmax())
+    return int(spread.round(3).argmax())
 
 
 def labelled(mask: np.ndarray) -> np.ndarray:
@@ -111,18 +113,36 @@ def regions_of(u: np.ndarray, min_area: int = 16, max_share: float = 0.25, thres
 
 def find(images: DataFrame, **limits) -> DataFrame:
     """Regions of each image (img, h, w, data in 0..1): an image gives as many rows as it has regions."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    schema = to_arrow_schema(_parse_datatype_string(REGION))
+    schema = schema_of(REGION)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for img, h, w, data in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                if data is not None and h and w and len(data) == h * w:
-                    u = np.floor(np.clip(np.nan_to_num(np.array(data, float)), 0, 1) * 255).reshape(h, w)
-                    rows += [{"img": img, **r} for r in regions_of(u, **limits)]
+            for img, h, w, data in zip(*(batch.column(k).to_pylist() for k in range(3)), views(batch.column(3)), strict=True):
+                if data is not None and h and w and data.size == h * w:
+                    rows += [{"img": img, **r} for r in regions_of(levels(data.reshape(h, w)), **limits)]
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return images.select(F.col("img").cast("long"), F.col("h").cast("int"), F.col("w").cast("int"), F.col("data").cast("array<double>")).mapInArrow(run, REGION)
+
+
+def levels(x: np.ndarray) -> np.ndarray:
+    """0..1 as whole numbers 0..255."""
+    return np.floor(np.clip(np.nan_to_num(x), 0, 1) * 255)
+
+
+def overlay(x: np.ndarray, found: list[dict]) -> np.ndarray:
+    """An RGB image (0..255) with the rectangle of each region in green and its polygon in red."""
+    out = np.stack([levels(x)] * 3, -1)
+    h, w = x.shape
+    for r in found:
+        t = math.radians(r["angle_deg"])
+        axis = np.array([[math.cos(t), math.sin(t)], [-math.sin(t), math.cos(t)]])
+        half = np.array([r["width"], r["height"]]) / 2
+        box = np.array([r["cx"], r["cy"]]) + (np.array([[-1, -1], [1, -1], [1, 1], [-1, 1]]) * half) @ axis
+        for ring, colour in ((box, (0, 255, 0)), (np.array(r["polygon"], float), (255, 0, 0))):
+            for a, b in zip(ring, np.roll(ring, -1, 0), strict=True):
+                line = a + (b - a) * np.linspace(0, 1, 2 * int(np.abs(b - a).max()) + 2)[:, None]
+                xs, ys = np.clip(line.astype(int), 0, [w - 1, h - 1]).T
+                out[ys, xs] = colour
+    return out

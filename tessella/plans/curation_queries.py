@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import kept_distinct, let, r6
+from ..functions.columns import kept_distinct, let
+from ..scratch import Scratch
 from ..sources.views import FILES_SQL, GRIDS_SQL, files, grids
 
 QUERIES: dict = {}
@@ -39,21 +40,26 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files(spark, sf_dir).where(is_image(F.col("name")))
 
 
-def place(order: list[Column], *by: str) -> Column:
-    """Number from 0 within groups that stay small (a folder, a split), in a total order."""
-    return F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1
-
-
 def numbered(rows: DataFrame, *order: str, name: str = "pos") -> DataFrame:
     """rows with a number from 0 over a total order of the whole table, without one task for all.
 
-    Rows are range-partitioned and sorted; sizes of the partitions before give each its start.
+    Rows are range-partitioned, sorted and written once, each with its partition and its place
+    there; only what is written tells the sizes of the partitions, so a task that runs again or
+    an exchange that is coalesced otherwise cannot move a row.
     """
-    parts = rows.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    parts = parts.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
-    sizes = parts.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = sizes.select("_p", (F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("_b"))
-    return parts.join(F.broadcast(before), "_p").withColumn(name, F.col("_b") + F.col("_i") - 1).drop("_p", "_i", "_b")
+    parts = rows.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # within the partition
+    parts = Scratch(rows.sparkSession).save(parts.withColumn("_p", F.spark_partition_id()).withColumn("_i", place), "numbered")
+    sizes = parts.groupBy("_p").agg(F.count("*").alias("_n"))  # one row per partition
+    before = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+    return parts.join(before, "_p").withColumn(name, F.col("_b") + F.col("_i")).drop("_p", "_i", "_b")
+
+
+def numbered_within(rows: DataFrame, by: tuple[str, ...], *order: str, name: str = "pos") -> DataFrame:
+    """Likewise from 0 within each group of ``by``, however large a group is; there are few groups."""
+    out = numbered(rows, *by, *order, name="_at")
+    first = out.groupBy(*by).agg(F.min("_at").alias("_first"))
+    return out.join(first, list(by)).withColumn(name, F.col("_at") - F.col("_first")).drop("_at", "_first")
 
 
 @query("list_files", IMG + " select path from im")
@@ -115,16 +121,18 @@ SPLIT = IMG + f", {DOMAIN}, r as (select *, row_number() over (partition by doma
 def split_rows(spark: SparkSession, sf_dir: str, ratio: float = 0.1) -> DataFrame:
     """Each domain's first floor(n * ratio) files in hash order become the test split.
 
-    The bound is a hash value per domain: the rank is only computed among rows near it,
-    so no domain is sorted in one task.
+    Hashes are counted in 4,096 slots a domain. A slot lies before the bound or behind it as a
+    whole, but for one a domain: only that one's rows are ranked, a 4,096th of the domain.
     """
-    rows = domains(spark, sf_dir).withColumn("key", kept_distinct("path", "7"))
-    slots = rows.withColumn("slot", F.substring("key", 1, 2)).groupBy("domain", "slot").agg(F.count("*").alias("n"))
+    rows = domains(spark, sf_dir).withColumn("key", kept_distinct("path", "7")).withColumn("slot", F.substring("key", 1, 3))
     by = Window.partitionBy("domain")
+    slots = rows.groupBy("domain", "slot").agg(F.count("*").alias("n"))
     slots = slots.withColumn("k", F.floor(F.sum("n").over(by) * ratio)).withColumn("before", F.sum("n").over(by.orderBy("slot")) - F.col("n"))
-    rows = rows.withColumn("slot", F.substring("key", 1, 2)).join(F.broadcast(slots), ["domain", "slot"])
+    side = F.when(F.col("before") + F.col("n") <= F.col("k"), "test").when(F.col("before") >= F.col("k"), "train")
+    rows = rows.join(F.broadcast(slots.select("domain", "slot", "k", "before", side.alias("split_"))), ["domain", "slot"])  # 4,096 rows a domain at most
     rank = F.row_number().over(Window.partitionBy("domain", "slot").orderBy("key", "path")) + F.col("before")
-    return rows.withColumn("split", F.when(rank <= F.col("k"), "test").otherwise("train"))
+    near = rows.where("split_ is null").withColumn("split_", F.when(rank <= F.col("k"), "test").otherwise("train"))
+    return rows.where("split_ is not null").unionByName(near).withColumn("split", F.col("split_")).drop("split_", "k", "before", "slot", "key")
 
 
 @query("split_dataset", SPLIT + " select path, domain, split from sp")
@@ -139,7 +147,7 @@ def split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("export_plan", SPLIT + " select path as src, split || domain || '/' || lpad((row_number() over (partition by split, domain order by path) - 1)::varchar, 6, '0') || '_' || name as dst from sp")
 def export_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = split_rows(spark, sf_dir).withColumn("i", place([F.col("path")], "split", "domain"))
+    rows = numbered_within(split_rows(spark, sf_dir).select("path", "name", "split", "domain"), ("split", "domain"), "path", name="i")
     return rows.select(F.col("path").alias("src"), F.concat(F.col("split"), F.col("domain"), F.lit("/"), F.lpad(F.col("i").cast("string"), 6, "0"), F.lit("_"), F.col("name")).alias("dst"))
 
 

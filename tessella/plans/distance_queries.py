@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import let, r6, total
+from ..operators.batches import lists, views
 from ..sources.views import table
 
 QUERIES: dict = {}
@@ -31,6 +35,26 @@ def dot(a, b):
     return total(F.zip_with(a, b, lambda x, y: x * y))
 
 
+def powers(rows: DataFrame, dim: int) -> DataFrame:
+    """i, j, the sum of x_i x_j and the array of sums of x_i x_j x_k over all rows' vectors x = e / sqrt(dim).
+
+    A task sums its vectors in Arrow batches and sends dim * dim rows on, however many vectors it has.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        two, three = np.zeros(dim * dim), np.zeros((dim * dim, dim))
+        for batch in batches:
+            for x in np.array_split(np.array(views(batch.column(0))).reshape(-1, dim) / dim**0.5, max(1, len(batch) // 512)):
+                both = (x[:, :, None] * x[:, None, :]).reshape(len(x), dim * dim)
+                two += both.sum(0)
+                three += both.T @ x
+        i, j = np.divmod(np.arange(dim * dim), dim)
+        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(two), lists(list(three))], names=["i", "j", "p2", "p3"])
+
+    parts = rows.where(F.size("e") == dim).select("e").mapInArrow(run, "i int, j int, p2 double, p3 array<double>")
+    return parts.groupBy("i", "j").agg(F.sum("p2").alias("p2"), F.array(*[F.sum(F.get("p3", F.lit(k))) for k in range(dim)]).alias("p3"))
+
+
 def kid_of(x: DataFrame, y: DataFrame, dim: int) -> DataFrame:
     """Unbiased squared discrepancy of two sets (e) under the cubic kernel, without pairs.
 
@@ -39,12 +63,7 @@ def kid_of(x: DataFrame, y: DataFrame, dim: int) -> DataFrame:
     """
 
     def sums(rows: DataFrame, s: str) -> DataFrame:
-        root = float(dim) ** 0.5
-        scaled = rows.select(F.transform(F.col("e"), lambda v: v / root).alias("e"))
-        one = scaled.select(F.posexplode("e").alias("i", "v"), "e")
-        two = one.select("i", "v", F.posexplode("e").alias("j", "u"), "e").select("i", "j", (F.col("v") * F.col("u")).alias("p"), "e")
-        flat = two.groupBy("i", "j").agg(F.sum("p").alias("p2"), *[F.sum(F.col("p") * F.get("e", F.lit(k))).alias(f"t{k}") for k in range(dim)])
-        return flat.select("i", "j", F.col("p2").alias(f"{s}2"), F.array(*[f"t{k}" for k in range(dim)]).alias(f"{s}3"))
+        return powers(rows, dim).select("i", "j", F.col("p2").alias(f"{s}2"), F.col("p3").alias(f"{s}3"))
 
     def singles(rows: DataFrame, s: str) -> DataFrame:
         norm = dot(F.col("e"), F.col("e")) / dim + 1
@@ -54,7 +73,7 @@ def kid_of(x: DataFrame, y: DataFrame, dim: int) -> DataFrame:
     both = sums(x, "x").join(sums(y, "y"), ["i", "j"])
     inner = lambda a, b: dot(F.col(a), F.col(b))
     cubes = both.agg(*[F.sum(inner(f"{a}3", f"{b}3")).alias(f"c3_{a}{b}") for a, b in ("xx", "yy", "xy")], *[F.sum(F.col(f"{a}2") * F.col(f"{b}2")).alias(f"c2_{a}{b}") for a, b in ("xx", "yy", "xy")])
-    rows = cubes.join(F.broadcast(singles(x, "x"))).join(F.broadcast(singles(y, "y")))
+    rows = cubes.join(F.broadcast(singles(x, "x"))).join(F.broadcast(singles(y, "y")))  # one row each
     n, m = F.col("n_x"), F.col("n_y")
 
     def kernel_sum(a: str, b: str):
@@ -64,6 +83,41 @@ def kid_of(x: DataFrame, y: DataFrame, dim: int) -> DataFrame:
     return rows.select(value.alias("kid"), n.cast("long").alias("n_a"), m.cast("long").alias("n_b"))
 
 
+#: Subsets of the estimator, and vectors of a subset at most.
+SUBSETS, SUBSET_SIZE = 10, 100
+
+
+def kid_of_subsets(x: DataFrame, y: DataFrame, subsets: int = SUBSETS, size: int = SUBSET_SIZE) -> DataFrame:
+    """kid, n_a, n_b: the mean discrepancy of subsets of both sets (vec_id, e), NaN if one has fewer than two vectors.
+
+    A subset is the first vectors by a hash of id and subset, in any engine the same. A bound of
+    the hash is passed by a few times as many as are needed; those are ranked.
+    """
+    spark, n, m = x.sparkSession, x.count(), y.count()
+    s = min(size, n, m)
+    if s < 2:
+        return spark.createDataFrame([(float("nan"), n, m)], "kid double, n_a long, n_b long")
+
+    def chosen(rows: DataFrame, total: int, side: int) -> DataFrame:
+        keyed = rows.select("vec_id", "e", F.explode(F.sequence(F.lit(0), F.lit(subsets - 1))).alias("subset"))
+        keyed = keyed.withColumn("key", F.md5(F.concat_ws(":", F.col("vec_id").cast("string"), F.col("subset").cast("string"))))
+        if total > 8 * s + 200:  # so many more pass than are needed that fewer than s are out of the question
+            keyed = keyed.where(F.col("key") < f"{int((4 * s + 100) / total * 2**32):08x}")
+        rank = F.row_number().over(Window.partitionBy("subset").orderBy("key", "vec_id"))
+        return keyed.withColumn("rank", rank).where(F.col("rank") <= s).select("subset", F.lit(side).alias("side"), "rank", "e")
+
+    def one(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("side", "ascending"), ("rank", "ascending")])
+        e = np.array(views(rows["e"].combine_chunks()))
+        k = (e @ e.T / e.shape[1] + 1) ** 3
+        inside = [(b.sum() - np.trace(b)) / (s * (s - 1)) for b in (k[:s, :s], k[s:, s:])]
+        return pa.table({"v": pa.array([sum(inside) - 2 * k[:s, s:].mean()])})
+
+    both = chosen(x, n, 0).unionByName(chosen(y, m, 1))
+    values = both.groupBy("subset").applyInArrow(one, "v double")
+    return values.agg(F.avg("v").alias("kid"), F.lit(n).cast("long").alias("n_a"), F.lit(m).cast("long").alias("n_b"))
+
+
 @query(
     "kid",
     """with f as (select vec_id, label, list_transform(embedding, lambda v: v::double) as e from embeddings where label in (0, 1)),
@@ -77,6 +131,21 @@ def kid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kid_of(rows.where("label = 0"), rows.where("label = 1"), 64).select(r6(F.col("kid")).alias("kid"), "n_a", "n_b")
 
 
+@query(
+    "kid_subsets",
+    """with f as (select vec_id, label, list_transform(embedding, lambda v: v::double) as e from embeddings where label in (0, 1)),
+    n as (select count(*) filter (label = 0) as n, count(*) filter (label = 1) as m, least(100, count(*) filter (label = 0), count(*) filter (label = 1)) as s from f),
+    k as (select r, label, vec_id, e, row_number() over (partition by r, label order by md5(vec_id || ':' || r), vec_id) as pos from f, range(10) t(r)),
+    c as (select r, label, vec_id, e from k, n where pos <= s),
+    p as (select a.r, a.label as la, b.label as lb, a.vec_id = b.vec_id as same, pow(list_dot_product(a.e, b.e) / 64 + 1, 3) as k from c a join c b using (r)),
+    v as (select r, sum(k) filter (la = 0 and lb = 0 and not same) / any_value(s * (s - 1)) + sum(k) filter (la = 1 and lb = 1 and not same) / any_value(s * (s - 1)) - 2 * sum(k) filter (la = 0 and lb = 1) / any_value(s * s) as v from p, n group by r)
+    select round(avg(v), 6) + 0.0 as kid, (select n from n) as n_a, (select m from n) as n_b from v""",
+)
+def kid_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = features(spark, sf_dir)
+    return kid_of_subsets(rows.where("label = 0"), rows.where("label = 1")).select(r6(F.col("kid")).alias("kid"), "n_a", "n_b")
+
+
 def moments(rows: DataFrame) -> DataFrame:
     """i, j, sample covariance of all dimension pairs i <= j, and the mean of i, per label."""
     one = rows.select("label", F.posexplode("e").alias("i", "v"), "e")
@@ -119,18 +188,32 @@ def frechet(mu1, cov1, mu2, cov2) -> float:
     return float(((mu1 - mu2) ** 2).sum() + np.trace(cov1) + np.trace(cov2) - 2 * cross)
 
 
-@query("fid_full")
-def fid_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The full distance: moments are aggregated by Spark, d * d numbers a set reach the driver."""
-    rows = features(spark, sf_dir).where("label in (0, 1)")
-    dim, mu, cov = 64, np.zeros((2, 64)), np.zeros((2, 64, 64))
+def fid_of(rows: DataFrame, dim: int = 64) -> float:
+    """The full distance of labels 0 and 1: moments are aggregated by Spark, dim * dim numbers a set reach the driver."""
+    mu, cov = np.zeros((2, dim)), np.zeros((2, dim, dim))
     counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if min(counts.get(0, 0), counts.get(1, 0)) < 2:
-        return spark.createDataFrame([(float("nan"),)], "fid double")
+        return float("nan")
     for r in moments(rows).collect():
         cov[r["label"], r["i"], r["j"]] = cov[r["label"], r["j"], r["i"]] = r["cov"]
-        mu[r["label"], r["i"]] = r["mean"] if r["i"] < dim else 0
-    return spark.createDataFrame([(frechet(mu[0], cov[0], mu[1], cov[1]),)], "fid double")
+        mu[r["label"], r["i"]] = r["mean"]
+    return frechet(mu[0], cov[0], mu[1], cov[1])
+
+
+@query("fid_full")
+def fid_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(fid_of(features(spark, sf_dir).where("label in (0, 1)")),)], "fid double")
+
+
+@query("fid_kid")
+def fid_kid(spark: SparkSession, sf_dir: str, max_items: int = 500) -> DataFrame:
+    """Both distances of the first max_items vectors (0: all) of two labels, with the sizes of both sets."""
+    rows = features(spark, sf_dir)
+    sides = [rows.where(F.col("label") == k) for k in (0, 1)]
+    if max_items:
+        sides = [r.orderBy("vec_id").limit(max_items) for r in sides]
+    fid = fid_of(sides[0].unionByName(sides[1]))
+    return kid_of_subsets(*sides).select(F.lit(fid).alias("fid"), "kid", "n_a", "n_b")
 
 
 @query(

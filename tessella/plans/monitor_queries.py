@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.views import FILES_SQL, LOG_SQL, files, log_lines, table
+from .curation_queries import numbered
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -13,6 +14,8 @@ ORACLE: dict[str, str] = {}
 ITERATION = r"epoch:\s*(\d+),\s*iters:\s*(\d+)"
 LEARNING_RATE = r"learning rate.*?=\s*([0-9.eE+-]+)"
 LOSS = r"(\w+):\s*(-?\d+\.\d+)"
+#: Parts of a run that are ranked apart.
+SALTS = 64
 
 
 def query(name: str, sql: str | None = None):
@@ -70,18 +73,24 @@ GAP = PARSED + ", pr as (select run, seq, ts, epoch_us(ts) - lag(epoch_us(ts)) o
 
 @query("stall_gaps", GAP + " select run, seq, gap // 1000000 as gap_s from pr where gap > 43200 * 1000000::bigint")
 def stall_gaps(spark: SparkSession, sf_dir: str, seconds: int = 43200) -> DataFrame:
-    """Progress lines (iterations and epoch ends; other lines do not count) that follow a longer silence."""
-    rows = parsed(log_lines(spark, sf_dir)).where("epoch is not null or epoch_end")
-    gap = F.timestamp_diff("MICROSECOND", F.lag("ts").over(Window.partitionBy("run").orderBy("ts", "event_id")), F.col("ts"))
-    return rows.select("run", "seq", gap.alias("gap")).where(F.col("gap") > seconds * 1_000_000).select("run", "seq", F.floor(F.col("gap") / 1_000_000).alias("gap_s"))
+    """Progress lines (iterations and epoch ends; other lines do not count) that follow a longer silence.
+
+    Lines are numbered over all runs and meet the line before by number, so no run is sorted in one task.
+    """
+    rows = parsed(log_lines(spark, sf_dir)).where("epoch is not null or epoch_end").select("run", "seq", "ts", "event_id")
+    rows = numbered(rows, "run", "ts", "event_id")
+    before = rows.select(F.col("run"), (F.col("pos") + 1).alias("pos"), F.col("ts").alias("since"))
+    gap = F.timestamp_diff("MICROSECOND", F.col("since"), F.col("ts"))
+    return rows.join(before, ["run", "pos"]).where(gap > seconds * 1_000_000).select("run", "seq", F.floor(gap / 1_000_000).alias("gap_s"))
 
 
 @query("ema_step_time", LG + ", x as (select run, seq, count(*) over (partition by run) as n, event_id % 1000 / 1000.0 as v from lg) select run, round(sum(0.005 * pow(0.995, n - seq) * v), 6) as ema from x group by run")
 def ema_step_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exponential smoothing (0.995 old, 0.005 new) folded over each run in order."""
-    v = F.col("event_id") % 1000 / 1000.0
-    rows = log_lines(spark, sf_dir).groupBy("run").agg(F.sort_array(F.collect_list(F.struct("seq", v.alias("v")))).alias("s"))
-    return rows.select("run", F.round(F.aggregate("s", F.lit(0.0), lambda a, s: 0.995 * a + 0.005 * s["v"]), 6).alias("ema"))
+    """Exponential smoothing (0.995 old, 0.005 new) in closed form: a sum that is pre-aggregated, however long a run is."""
+    rows = log_lines(spark, sf_dir).select("run", "seq", (F.col("event_id") % 1000 / 1000.0).alias("v"))
+    last = rows.groupBy("run").agg(F.max("seq").alias("n"))
+    weight = 0.005 * F.pow(F.lit(0.995), F.col("n") - F.col("seq"))
+    return rows.join(last, "run").groupBy("run").agg(F.round(F.sum(weight * F.col("v")), 6).alias("ema"))
 
 
 @query("log_tail", LG + ", r as (select run, seq, line, count(*) over (partition by run) as n from lg) select run, seq, line from r where seq > n - 5")
@@ -107,17 +116,22 @@ def progress_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
       (case when dead is not null and (stopped is null or dead < stopped) then 4 when stopped is not null then (select max(crashes) from c where c.run = f.run and c.seq <= f.stopped) else total end)::int as restarts from f""",
 )
 def restart_machine(spark: SparkSession, sf_dir: str, most: int = 3) -> DataFrame:
-    """Restarts after crashes until there are too many or the run is stopped: a fold over each run in order."""
-    event = F.when(F.col("line").contains("warning"), "crash").when(F.col("line").contains("End of epoch 7"), "stop")
-    rows = log_lines(spark, sf_dir).withColumn("e", event).groupBy("run").agg(F.sort_array(F.collect_list(F.when(F.col("e").isNotNull(), F.struct("seq", "e")))).alias("es"))
+    """Restarts after crashes until there are too many or the run is stopped.
 
-    def step(s, x):
-        tries = s["restarts"] + F.when(x["e"] == "crash", 1).otherwise(0)
-        status = F.when(x["e"] == "stop", "stopped").when(tries > most, "error").otherwise("running")
-        return F.when(s["status"] != "running", s).otherwise(F.struct(status.alias("status"), tries.alias("restarts")))
-
-    start = F.struct(F.lit("running").alias("status"), F.lit(0).alias("restarts"))
-    return rows.select("run", F.aggregate("es", start, step).alias("s")).select("run", "s.status", "s.restarts")
+    What ends a run is its first stop or its crash number most + 1, whichever is earlier. The
+    latter is found among the first crashes of salted parts of a run, so no task gets a whole run.
+    """
+    event = F.when(F.col("line").contains("warning"), "crash").when(F.col("line").contains("End of epoch 7"), "stop")
+    rows = log_lines(spark, sf_dir).select("run", "seq", event.alias("e"))
+    crash = rows.where("e = 'crash'").withColumn("salt", F.pmod(F.xxhash64("seq"), F.lit(SALTS)))
+    for by in (["run", "salt"], ["run"]):
+        crash = crash.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy("seq"))).where(F.col("k") <= most + 1)
+    dead = crash.where(F.col("k") == most + 1).select("run", F.col("seq").alias("dead"))
+    runs = rows.groupBy("run").agg(F.min(F.when(F.col("e") == "stop", F.col("seq"))).alias("stopped")).join(dead, "run", "left")
+    end = F.coalesce(F.least("stopped", "dead"), F.lit(2**31 - 1))
+    tries = rows.join(runs, "run").groupBy("run", "stopped", "dead").agg(F.count_if((F.col("e") == "crash") & (F.col("seq") <= end)).cast("int").alias("restarts"))
+    status = F.when(F.col("dead") < F.coalesce("stopped", F.col("dead") + 1), "error").when(F.col("stopped").isNotNull(), "stopped").otherwise("running")
+    return tries.select("run", status.alias("status"), "restarts")
 
 
 @query("lr_schedule", "select r::int as epoch, round(1.0 - greatest(0, r + 1 - 100) / 101.0, 6) as linear, round(pow(0.1, r // 50), 6) as step, round((1 + cos(pi() * r / 100.0)) / 2, 6) + 0.0 as cosine from range(200) t(r)")

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import raster as R
+from ..operators import kernels as K
+from ..operators import regions
+from ..operators.batches import mapped
 from ..functions.columns import let, mean, percentile, r6, variance
 from ..sources.views import GRIDS_SQL, grids, mirrored_sql, tall, window_sql
 
@@ -46,6 +50,16 @@ def _mapped(name: str, column: Callable[[], Column], sql: str) -> None:
     ORACLE[name] = f"with {GRIDS_SQL}, {sql}"
 
 
+def _filtered(name: str, fn: Callable, sql: str) -> None:
+    """Likewise by the numpy plan: fn of the image as h x w."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return tall(mapped(grids(spark, sf_dir), "img", ("data",), lambda x: {"w": x.shape[1], "data": fn(x)}, "img long, w int, data array<double>"))
+
+    QUERIES[name] = run
+    ORACLE[name] = f"with {GRIDS_SQL}, {sql}"
+
+
 OUT = "select img, y, x, round(o, 6) + 0.0 as v from"
 CLIP = "least(greatest({}, 0.0), 1.0)"
 
@@ -117,16 +131,16 @@ _mapped(
     {OUT} (select *, o as oo from mp)""",
 )
 _mapped("normalize_u8", lambda: R.to_u8(D()), f"s as (select * from g) {OUT} (select *, trunc(least(greatest(v, 0.0), 1.0) * 255) as o from s)")
-_mapped("laplacian_map", lambda: R.laplacian(D(), H(), W()), window_sql("win", "g", 1) + f", l as (select img, y, x, sum(case when abs(dy) + abs(dx) = 1 then nv when dy = 0 and dx = 0 then -4 * nv else 0 end) as o from win group by img, y, x) {OUT} (select *, o as oo from l)")
+_filtered("laplacian_map", K.laplacian, window_sql("win", "g", 1) + f", l as (select img, y, x, sum(case when abs(dy) + abs(dx) = 1 then nv when dy = 0 and dx = 0 then -4 * nv else 0 end) as o from win group by img, y, x) {OUT} (select *, o as oo from l)")
 SAL = window_sql("wz", "g", 2, pad="zero") + """, con as (select img, y, x, greatest(any_value(v) - sum(nv) / 25, 0.0) as c from wz group by img, y, x),
     qs as (select img, greatest(quantile_cont(c, 0.995), 1e-5) as top from con group by img), sal as (select img, y, x, 1 + 3.0 * least(greatest(c / top, 0.0), 1.0) as wt from con join qs using (img))"""
-_mapped("saliency_map", lambda: R.saliency(D(), H(), W()), f"{SAL} {OUT} (select *, wt as o from sal)")
+_filtered("saliency_map", K.saliency, f"{SAL} {OUT} (select *, wt as o from sal)")
 SHARP = window_sql("w3", "g", 1) + """, sob as (select img, y, x, sum(nv * (case dx when -1 then -1 when 1 then 1 else 0 end) * (case dy when 0 then 2 else 1 end)) as gx,
       sum(nv * (case dy when -1 then -1 when 1 then 1 else 0 end) * (case dx when 0 then 2 else 1 end)) as gy from w3 group by img, y, x),
     sj as (select a.img, a.y, a.x, sum(b.gx * b.gx) / 25 as xx, sum(b.gy * b.gy) / 25 as yy, sum(b.gx * b.gy) / 25 as xy
       from sob a join sob b on a.img = b.img and abs(a.y - b.y) <= 2 and abs(a.x - b.x) <= 2 group by a.img, a.y, a.x),
     shp as (select img, y, x, least(greatest((xx + yy) / (xx + yy + 1.0), 0.0), 1.0) * least(greatest(sqrt((xx - yy) * (xx - yy) + 4 * xy * xy + 1e-12) / (xx + yy + 1e-5), 0.0), 1.0) as sh from sj)"""
-_mapped("sharpness_map", lambda: R.sharpness(D(), H(), W()), f"{SHARP} {OUT} (select *, sh as o from shp)")
+_filtered("sharpness_map", K.sharpness, f"{SHARP} {OUT} (select *, sh as o from shp)")
 _mapped("flip_horizontal", lambda: R.pixels(H(), W(), lambda y, x, i: F.get(D(), y * W() + (W() - 1 - x))), f"s as (select img, y, 7 - x as x, v from g) {OUT} (select *, v as o from s)")
 
 
@@ -236,6 +250,12 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return side(0, "a").join(side(1, "b").drop("h", "w"), "pair")
 
 
+def measured(spark: SparkSession, sf_dir: str, name: str, fn: Callable) -> DataFrame:
+    """fn(a, b) of each pair, by the numpy plan: neighbourhoods cost one pass over an image."""
+    out = mapped(pairs(spark, sf_dir), "pair", ("a", "b"), lambda a, b: {name: fn(a, b)}, f"pair long, {name} double")
+    return out.select("pair", r6(F.col(name)).alias(name))
+
+
 def A() -> Column:
     return F.col("a")
 
@@ -278,7 +298,7 @@ def structure_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     select img as pair, round(avg((2 * mx * my + 1e-4) * (2 * (xy - mx * my) + 9e-4) / ((mx * mx + my * my + 1e-4) * ((xx - mx * mx) + (yy - my * my) + 9e-4) + 1e-8)), 6) as ssim from st group by img""",
 )
 def pair_ssim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs(spark, sf_dir).select("pair", r6(R.ssim(A(), B(), H(), W(), 7)).alias("ssim"))
+    return measured(spark, sf_dir, "ssim", K.ssim)
 
 
 DIFFS = f"""with {GRIDS_SQL}, d as (select img, y, x, v, lead(v) over (partition by img, y order by x) - v as dx, lead(v) over (partition by img, x order by y) - v as dy from g)"""
@@ -286,22 +306,18 @@ DIFFS = f"""with {GRIDS_SQL}, d as (select img, y, x, v, lead(v) over (partition
 
 @query("grad_loss", DIFFS + " select a.img // 2 as pair, round(avg(abs(a.dx - b.dx)) + avg(abs(a.dy - b.dy)), 6) as loss from d a join d b on b.img = a.img + 1 and a.img % 2 = 0 and a.y = b.y and a.x = b.x group by 1")
 def grad_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def part(axis: int) -> Column:
-        return mean(F.zip_with(R.differences(A(), H(), W(), axis), R.differences(B(), H(), W(), axis), lambda p, q: F.abs(p - q)))
-
-    return pairs(spark, sf_dir).select("pair", r6(part(1) + part(0)).alias("loss"))
+    return measured(spark, sf_dir, "loss", K.gradient_loss)
 
 
 @query("lap_loss", PAIR + " select pair, round(avg(abs(la - lb)), 6) as loss from pr group by pair")
 def lap_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs(spark, sf_dir).select("pair", r6(mean(F.zip_with(R.laplacian(A(), H(), W()), R.laplacian(B(), H(), W()), lambda p, q: F.abs(p - q)))).alias("loss"))
+    return measured(spark, sf_dir, "loss", lambda a, b: float(np.abs(K.laplacian(a) - K.laplacian(b)).mean()))
 
 
 @query("coherence_loss", f"with {GRIDS_SQL}, {SAL}, {SHARP} select s.img // 2 as pair, round(avg((1 - sh) * wt), 6) as loss from sal s join shp on shp.img = s.img + 1 and s.img % 2 = 0 and s.y = shp.y and s.x = shp.x group by 1")
 def coherence_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How little the generated image (b) is sharp where the source (a) shines."""
-    loss = mean(F.zip_with(R.sharpness(B(), H(), W()), R.saliency(A(), H(), W()), lambda s, wt: (1.0 - s) * wt))
-    return pairs(spark, sf_dir).select("pair", r6(loss).alias("loss"))
+    return measured(spark, sf_dir, "loss", lambda a, b: float(((1 - K.sharpness(b)) * K.saliency(a)).mean()))
 
 
 @query("l1_loss", PAIR + " select pair, round(avg(abs(a - b)), 6) as loss from pr group by pair")
@@ -343,18 +359,7 @@ def luminance(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def otsu_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The level that separates an image's histogram best; the lowest among equals."""
-
-    def of(us: Column) -> Column:
-        def at(t: Column) -> Column:
-            low, high = F.filter(us, lambda u: u <= t), F.filter(us, lambda u: u > t)
-            both = F.struct(F.size(low).alias("w0"), F.size(high).alias("w1"), F.aggregate(low, F.lit(0), lambda a, u: a + u).alias("s0"), F.aggregate(high, F.lit(0), lambda a, u: a + u).alias("s1"))
-            gap = lambda s: s["s0"] / s["w0"] - s["s1"] / s["w1"]
-            var = let(both, lambda s: F.when((s["w0"] == 0) | (s["w1"] == 0), 0.0).otherwise(s["w0"].cast("double") * s["w1"] * gap(s) * gap(s)))
-            return F.struct(F.round(var, 3).alias("var"), (-t).alias("t"))
-
-        return -F.array_max(F.transform(F.sequence(F.lit(0), F.lit(255)), at))["t"]
-
-    return grids(spark, sf_dir).select("img", let(R.to_u8(D()), of).alias("threshold"))
+    return mapped(grids(spark, sf_dir), "img", ("data",), lambda x: {"threshold": regions.otsu(regions.levels(x))}, "img long, threshold int")
 
 
 @query("array_summary", f"with {GRIDS_SQL} select img, round(avg(v), 6) as mean, min(v) as low, max(v) as high, round(quantile_cont(v, 0.5), 6) as median, round(stddev_pop(v), 6) as std from g group by img")
@@ -370,6 +375,17 @@ def pipeline_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipeline.manifest(pipeline.run(bad_grids(spark, sf_dir), pipeline.default_spec(size=16)))
 
 
+@query(
+    "pipeline_sizes",
+    f"""{BAD}, z as (select img, any_value(img % 7 <> 0 and (img % 13 = 0 or img % 11 = 0)) as c from b group by img)
+    select img, case when c then 'skipped' else 'success' end as status, case when c then 'empty/constant image' end as error, 8::int as orig_h, 8::int as orig_w, case when not c then 16 end::int as out_h, case when not c then 16 end::int as out_w, case when not c then 3 end::int as channels,
+      'validate_image|sar_intensity_transform|speckle_filter|outlier_clipping|histogram_mapping|resize_or_tile|channel_adapter|normalize_for_cut' as steps from z""",
+)
+def pipeline_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest's columns that no pixel decides."""
+    return pipeline_manifest(spark, sf_dir).select("img", "status", "error", "orig_h", "orig_w", "out_h", "out_w", "channels", "steps")
+
+
 @query("pipeline_status", f"""{BAD}, z as (select img, any_value(img % 7 <> 0 and (img % 13 = 0 or img % 11 = 0)) as c from b group by img) select case when c then 'skipped' else 'success' end as status, count(*) as n from z group by 1""")
 def pipeline_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipeline_manifest(spark, sf_dir).groupBy("status").agg(F.count("*").alias("n"))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import raster as R
 from ..functions.columns import let, mean, r6
 from ..sources.views import GRIDS_SQL, grids, table, tall, window_sql
+from .raster_queries import METRICS, QUALITY, dataset_quality
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -207,17 +211,33 @@ def layer_taps(spark: SparkSession, sf_dir: str) -> DataFrame:
     select run, round(arg_max(lr, k), 9) as lr from s group by run""",
 )
 def plateau_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rate falls to a fifth after more than five values in a row that are no better: a fold over each run."""
-    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("run"), F.struct("ts", "event_id", F.coalesce("value", F.lit(0.0)).alias("m")).alias("s"))
-    runs = rows.groupBy("run").agg(F.sort_array(F.collect_list("s")).alias("s"))
-
-    def step(a: Column, x: Column) -> Column:
-        better = x["m"] < a["best"] * 0.99
-        drop = ~better & (a["bad"] + 1 > 5)
-        return F.struct(F.when(better, x["m"]).otherwise(a["best"]).alias("best"), F.when(better | drop, 0).otherwise(a["bad"] + 1).alias("bad"), F.when(drop, a["lr"] * 0.2).otherwise(a["lr"]).alias("lr"))
-
-    start = F.struct(F.lit(1e300).alias("best"), F.lit(0).alias("bad"), F.lit(1.0).alias("lr"))
-    return runs.select("run", F.round(F.aggregate("s", start, step)["lr"], 9).alias("lr"))
+    """The rate falls to a fifth after more than five values in a row that are no better.
+
+    Each step needs the one before, so a run is read in order by one task: sorted rows stream
+    through, and what is held is the state of a run, not the run.
+    """
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("run"), "ts", "event_id", F.coalesce("value", F.lit(0.0)).alias("m"))
+    rows = rows.repartition("run").sortWithinPartitions("run", "ts", "event_id").select("run", "m")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, best, bad, lr = None, 1e300, 0, 1.0
+        put = lambda: pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([lr])], names=["run", "lr"])
+        for batch in batches:
+            for run, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if run != at:
+                    if at is not None:
+                        yield put()
+                    at, best, bad, lr = run, 1e300, 0, 1.0
+                if m < best * 0.99:
+                    best, bad = m, 0
+                elif bad + 1 > 5:
+                    bad, lr = 0, lr * 0.2
+                else:
+                    bad += 1
+        if at is not None:
+            yield put()
+
+    return rows.where("run is not null").mapInArrow(fold, "run long, lr double").select("run", F.round("lr", 9).alias("lr"))
 
 
 @query(
@@ -283,12 +303,13 @@ def single_image_crops(spark: SparkSession, sf_dir: str, n: int = 2000, batch: i
 )
 def ema_features(spark: SparkSession, sf_dir: str, keep: float = 0.999) -> DataFrame:
     """Exponential moving average of a label's vectors in id order, in closed form: a sum that is pre-aggregated."""
-    from pyspark.sql import Window
+    from .curation_queries import numbered_within
 
     rows = table(spark, sf_dir, "embeddings").select(F.col("label").cast("int").alias("label"), "vec_id", "embedding")
-    place = rows.select("label", "vec_id").withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")))
-    last = place.groupBy("label").agg(F.max("k").alias("n"))
-    weighed = rows.join(place, ["label", "vec_id"]).join(last, "label").select("label", ((1 - keep) * F.pow(F.lit(keep), F.col("n") - F.col("k"))).alias("wt"), F.posexplode("embedding").alias("i", "v"))
+    last = rows.groupBy("label").agg(F.count("*").alias("n"))
+    place = numbered_within(rows, ("label",), "vec_id", name="k")
+    weight = (1 - keep) * F.pow(F.lit(keep), F.col("n") - F.col("k") - 1)
+    weighed = place.join(last, "label").select("label", weight.alias("wt"), F.posexplode("embedding").alias("i", "v"))
     return weighed.groupBy("label", "i").agg(r6(F.sum(F.col("wt") * F.col("v").cast("double"))).alias("ema"))
 
 
@@ -346,12 +367,14 @@ def batch_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return side(0, "real_a").unionByName(side(1, "real_b")).groupBy("part").agg(F.count("*").alias("n"), r6(F.avg("v")).alias("mean"))
 
 
-@query("metric_summary")
+@query(
+    "metric_summary",
+    QUALITY + ", a as (select count(*) as n, " + ", ".join(f"round(avg({m}), 6) as a_{m}, round(stddev_pop({m}), 6) as s_{m}" for m in METRICS) + " from im) select 0::int as line, 'metrics of ' || n || ' images' as text from a"
+    + "".join(f" union all select {k}::int, printf('- {m:<16}: %8.4f +- %.4f', a_{m}, s_{m}) from a" for k, m in enumerate(METRICS, 1)),
+)
 def metric_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The data set's metrics as lines of text."""
-    from .raster_queries import METRICS, QUERIES as RASTER
-
-    rows = RASTER["dataset_quality"](spark, sf_dir)
+    rows = dataset_quality(spark, sf_dir)
     wide = rows.where("image = '__AVG__'").select(*[F.col(m).alias(f"a_{m}") for m in METRICS], "n").join(F.broadcast(rows.where("image = '__STD__'").select(*[F.col(m).alias(f"s_{m}") for m in METRICS])))
     lines = [F.format_string(f"- {m:<16}: %8.4f +- %.4f", f"a_{m}", f"s_{m}") for m in METRICS]
     return wide.select(F.posexplode(F.array(F.format_string("metrics of %d images", "n"), *lines)).alias("line", "text"))
