@@ -11,7 +11,8 @@ prediction reads whole texts of all documents.
 Defined results: ``und`` with score 0 for texts that are null or have no letter;
 without labelled rows every text is ``und``; with one language it is always
 predicted, with score 1; repeated rows get equal results; equal scores go to the
-first language by name.
+first language by name; very long texts are counted whole; an empty table gives no
+rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, once, table, text_batches
+from .common import crc_mod, least_by_hash, once, table, text_batches
 
 #: Bound of the labelled sample that is fitted.
 SAMPLE = 6_000
@@ -128,7 +129,7 @@ def fit(docs: DataFrame, keep=None) -> Model:
     if keep is not None:
         rows = rows.where(keep)
     # ids are chosen first, so that only the chosen texts travel
-    ids = rows.select("doc_id").where(F.col("doc_id").isNotNull()).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    ids = least_by_hash(rows.select("doc_id").where(F.col("doc_id").isNotNull()).distinct(), F.xxhash64("doc_id"), SAMPLE, "doc_id")
     found = once(rows.select("doc_id", "text", "lang").join(F.broadcast(ids), "doc_id"), "text", "lang")
 
     def brief(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

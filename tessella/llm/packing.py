@@ -9,9 +9,11 @@ uses up a length, so a plan has at most ``capacity`` patterns. Pieces then find
 their places by rank within their length; ranks are counted in salted groups, so
 a length that a third of the pieces share is dealt over many tasks.
 
-Defined results: null text is empty (its ids are the end id alone); rows with
-equal or null ids are packed one by one; an empty table gives no rows; extra
-columns are ignored.
+Defined results: null and empty texts have the end id alone; rows with equal or null ids
+are packed one by one; very long texts are encoded whole, runs of millions of white-space
+characters too; of combinations that are equally full the one of fewest short lengths is
+taken, and pieces of equal length take their places by the order in which they were read;
+an empty table gives no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -10,7 +10,9 @@ fit on out-of-fold margins.
 
 Defined results: null and empty texts have no indicators and get the score of the
 model's intercept; repeated rows get equal scores; if labels are missing or of one
-class, the score is the share of label 1 (0.5 without labels) for every row.
+class, the score is the share of label 1 (0.5 without labels) for every row; very
+long texts are read whole; ties between ids of equal hash go to the smaller id; an
+empty table gives no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

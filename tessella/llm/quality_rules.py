@@ -7,7 +7,10 @@ learned on the driver from the statistics of a bounded sample of labelled rows
 Defined results: null text has no words (all counts 0, base_failed, kept false);
 an empty text likewise; rows are judged independently, so repeated rows get equal
 results; without labels of both classes the list is empty and only the base rule
-rejects; null doc_id rows are judged like any other.
+rejects; null doc_id rows are judged like any other; very long texts are read whole;
+ties between conditions of equal gain go to the first feature and the least threshold;
+an empty table gives no rows; extra columns, whatever their names, are ignored by the
+query (``judge`` adds stats, base_failed, rule and kept, so give it a table without them).
 """
 
 from __future__ import annotations

@@ -9,7 +9,9 @@ is loaded - best segmentations of whole texts are those of the words joined, and
 worker remembers words; else whole texts are segmented.
 
 Defined results: null and empty texts have no ids and decode to an empty text;
-repeated rows get equal results; an empty table gives no rows.
+repeated rows get equal results; of segmentations of equal sums the one whose last piece
+starts first is taken; very long texts are encoded whole, in time that grows with their
+length; an empty table gives no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -1,22 +1,25 @@
 """Operator 6, exact top-k search: norm-sorted inner products with rotated partial sums.
 
 Vectors become integers (floor(scale * x)). Candidates are dealt into partitions by
-descending length; each partition is read once per block of QUERY_BLOCK queries. A
-block's thresholds start at the k-th score among the SEEDS longest vectors. Within a
-partition, a query is done with once its length times the longest length left stays
-under its threshold; other pairs run through partial sums over coordinates rotated by
-the eigenvectors of the Gram matrix of all vectors (largest first), and are dropped
-when the sum so far plus the product of both residual lengths (Cauchy-Schwarz) stays
-under the threshold. Only pairs that pass get their exact integer product. Every
-bound has a slack above rounding errors, so results are exact.
-
-What a task or the driver holds is bounded by QUERY_BLOCK, SEEDS and the dimension.
+descending length and written with their lengths. JOB_QUERIES queries are answered at
+once, in blocks of QUERY_BLOCK: first against the FIRST partitions, the longest vectors,
+which sets their thresholds (the k-th score so far); then against the others, of which the
+scan reads those only that are long enough for a query to reach its threshold - a filter
+that Parquet's statistics answer. Within a partition, a query is done with once its length
+times the longest length left stays under its threshold; other pairs run through partial
+sums over coordinates rotated by the eigenvectors of the Gram matrix of all vectors (largest
+first), and are dropped when the sum so far plus the product of both residual lengths
+(Cauchy-Schwarz) stays under the threshold. Only pairs that pass get their exact integer
+product. Every bound has a slack above rounding errors, so results are exact.
+
+What a task or the driver holds is bounded by JOB_QUERIES and the dimension.
 
 Defined results: rows with null ids, null vectors, or null or non-finite components
-take no part, nor those that scaling takes beyond 64 bits; an id that is repeated counts once, with the least of its vectors;
-vectors of fewer components are filled up with zeros; ties go to the smaller id;
-with fewer candidates than k a query has as many rows; products that do not fit into
-64 bits are cut to their range.
+take no part, nor those that scaling makes infinite; an id that is repeated counts once,
+with the least of its vectors; empty vectors are zero vectors; vectors of fewer components
+are filled up with zeros; ties go to the smaller id; with fewer candidates than k a query
+has as many rows; products that do not fit into 64 bits are ranked and given as the end of
+their range; an empty table gives no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,9 +33,11 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, table
 
-K, SCALE, QUERY_BLOCK, SEEDS = 20, 64, 4096, 8192
-#: Rows of candidates that are multiplied at once, and pairs that wait before they are cut to the best k.
-ROWS, WAITING = 1024, 1_000_000
+K, SCALE = 20, 64
+#: Queries of a job and of a block; partitions that set a job's thresholds.
+JOB_QUERIES, QUERY_BLOCK, FIRST = 32_768, 4096, 4
+#: Rows of candidates that are multiplied at once, and pairs of a block that wait before they are cut to the best k.
+ROWS, WAITING = 1024, 250_000
 #: Candidates of a partition, about.
 PARTITION_ROWS = 20_000
 _FOUND = "query_id long, vec_id long, score long"
@@ -40,11 +45,14 @@ _FOUND = "query_id long, vec_id long, score long"
 
 def integers(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     """vec_id, v (whole numbers as doubles) and norm of the rows that take part."""
-    v = F.transform("embedding", lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("double"))
-    raw = F.transform("embedding", lambda x: x.cast("double") * F.lit(scale))
-    whole = ~F.exists(raw, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) > 9e18))
-    rows = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(F.coalesce(whole, F.lit(False)))
-    one = rows.select(F.col("vec_id").cast("long"), v.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
+
+    def whole(x: Column) -> Column:
+        y = x.cast("double") * F.lit(scale)
+        return F.when(F.abs(y) < 2.0**52, F.floor(y).cast("double")).otherwise(y)  # beyond, doubles are whole
+
+    rows = vectors.where("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long"), F.transform("embedding", whole).alias("v"))
+    odd = F.exists("v", lambda y: y.isNull() | F.isnan(y) | (F.abs(y) == float("inf")))
+    one = rows.where(~F.coalesce(odd, F.lit(True))).groupBy("vec_id").agg(F.min("v").alias("v"))
     return one.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))
 
 
@@ -130,48 +138,86 @@ def _exact(c: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.array([max(-top, min(top, sum(int(a) * int(b) for a, b in zip(x, y, strict=True)))) for x, y in zip(c, q, strict=True)], np.int64)
 
 
-def search(best: Best, queries: Queries, turn: np.ndarray, ids: np.ndarray, m: np.ndarray) -> None:
-    """Offers the candidates m, sorted by falling length, to best."""
+def search(bests: list[Best], blocks: list[Queries], turn: np.ndarray, ids: np.ndarray, m: np.ndarray) -> None:
+    """Offers the candidates m, sorted by falling length, to the best of each block of queries."""
     for lo in range(0, len(m), ROWS):
         c, cid = m[lo : lo + ROWS], ids[lo : lo + ROWS]
-        longest = float(np.sqrt((c**2).sum(1)).max())
-        slack = 1e-9 * queries.norm * longest + 1e-6
-        live = np.flatnonzero(queries.norm * longest + slack >= best.least)
-        if not len(live):
-            continue
-        exact = float(queries.norm[live].max()) * longest < 2**52
-        least = (best.least - slack)[live]
-        turned, done = c @ turn, 0
-        total, open_ = np.zeros((len(c), len(live))), None
-        for d in queries.levels:
-            total += turned[:, done:d] @ queries.turned[live, done:d].T
-            done = d
-            rest = np.sqrt((turned[:, d:] ** 2).sum(1))
-            open_ = total + rest[:, None] * queries.rest[d][live][None, :] >= least[None, :]
-            used = open_.any(0)
-            if not used.all():  # queries that no candidate of this block can serve
-                live, least, total, open_ = live[used], least[used], total[:, used], open_[:, used]
-            if not len(live) or open_.sum() * 16 < open_.size:
-                break
+        with np.errstate(over="ignore"):
+            longest = float(np.sqrt((c**2).sum(1)).max())
+        turned = c @ turn if np.isfinite(longest) else None
+        for best, queries in zip(bests, blocks, strict=True):
+            _offer(best, queries, c, cid, longest, turned)
+
+
+def _offer(best: Best, queries: Queries, c: np.ndarray, cid: np.ndarray, longest: float, turned: np.ndarray | None) -> None:
+    slack = 1e-9 * queries.norm * longest + 1e-6
+    if turned is None or not np.isfinite(slack).all():  # lengths beyond doubles have no bounds
+        for i in range(len(c)):
+            s = _exact(np.broadcast_to(c[i], queries.m.shape), queries.m)
+            j = np.flatnonzero(queries.ids != cid[i])
+            best.add(j, np.full(len(j), cid[i]), s[j])
+        return
+    live = np.flatnonzero(queries.norm * longest + slack >= best.least)
+    if not len(live):
+        return
+    exact = float(queries.norm[live].max()) * longest < 2**52
+    least = (best.least - slack)[live]
+    done, total, open_ = 0, np.zeros((len(c), len(live))), None
+    for d in queries.levels:
+        total += turned[:, done:d] @ queries.turned[live, done:d].T
+        done = d
+        rest = np.sqrt((turned[:, d:] ** 2).sum(1))
+        open_ = total + rest[:, None] * queries.rest[d][live][None, :] >= least[None, :]
+        used = open_.any(0)
+        if not used.all():  # queries that no candidate of this block can serve
+            live, least, total, open_ = live[used], least[used], total[:, used], open_[:, used]
         if not len(live):
-            continue
-        if exact and (open_ is None or open_.sum() * 8 > open_.size):
-            s = c @ queries.m[live].T
-            hit = (s > best.least[live]) | ((s == best.least[live]) & (cid[:, None] <= best.last[live]))
-            i, j = np.nonzero(hit & (cid[:, None] != queries.ids[live][None, :]))
-            best.add(live[j], cid[i], s[i, j].astype(np.int64))
-            continue
-        i, j = np.nonzero(open_) if open_ is not None else np.nonzero(np.ones((len(c), len(live)), bool))
-        for at in range(0, len(i), 65536):
-            a, b = i[at : at + 65536], live[j[at : at + 65536]]
-            if exact:
-                s = np.einsum("ij,ij->i", c[a], queries.m[b])
-                hit = (s > best.least[b]) | ((s == best.least[b]) & (cid[a] <= best.last[b]))
-            else:  # thresholds are rounded here, so ties with them stay in
-                s = _exact(c[a], queries.m[b])
-                hit = s >= best.least[b] - slack[b]
-            hit &= cid[a] != queries.ids[b]
-            best.add(b[hit], cid[a][hit], s[hit].astype(np.int64))
+            return
+        if open_.sum() * 16 < open_.size:
+            break
+    if exact and (open_ is None or open_.sum() * 8 > open_.size):
+        s = c @ queries.m[live].T
+        hit = (s > best.least[live]) | ((s == best.least[live]) & (cid[:, None] <= best.last[live]))
+        i, j = np.nonzero(hit & (cid[:, None] != queries.ids[live][None, :]))
+        best.add(live[j], cid[i], s[i, j].astype(np.int64))
+        return
+    i, j = np.nonzero(open_) if open_ is not None else np.nonzero(np.ones((len(c), len(live)), bool))
+    for at in range(0, len(i), 65536):
+        a, b = i[at : at + 65536], live[j[at : at + 65536]]
+        if exact:
+            s = np.einsum("ij,ij->i", c[a], queries.m[b])
+            hit = (s > best.least[b]) | ((s == best.least[b]) & (cid[a] <= best.last[b]))
+        else:  # thresholds are rounded here, so ties with them stay in
+            s = _exact(c[a], queries.m[b])
+            hit = s >= best.least[b] - slack[b]
+        hit &= cid[a] != queries.ids[b]
+        best.add(b[hit], cid[a][hit], s[hit].astype(np.int64))
+
+
+def _answered(rows: DataFrame, ids: np.ndarray, m: np.ndarray, turn: np.ndarray, k: int, least: np.ndarray, last: np.ndarray) -> DataFrame:
+    """(query_id, vec_id, score) of the best k of each partition of rows (vec_id, v) that reach the thresholds."""
+    dim = m.shape[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cuts = [slice(lo, lo + QUERY_BLOCK) for lo in range(0, len(ids), QUERY_BLOCK)]
+        blocks, bests = [Queries(ids[c], m[c], turn) for c in cuts], []
+        for c, queries in zip(cuts, blocks, strict=True):
+            bests.append(Best(len(queries.ids), k))
+            bests[-1].least, bests[-1].last = least[c].copy(), last[c].copy()
+        for batch in batches:
+            search(bests, blocks, turn, np.asarray(batch.column(0), np.int64), _matrix(batch.column(1), dim))
+        for best, queries in zip(bests, blocks, strict=True):
+            q, vec, s = best.cut()
+            for lo in range(0, len(q), 100_000):
+                cols = [queries.ids[q[lo : lo + 100_000]], vec[lo : lo + 100_000], s[lo : lo + 100_000]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["query_id", "vec_id", "score"])
+
+    return rows.select("vec_id", "v").mapInArrow(run, _FOUND)
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def topk(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE) -> DataFrame:
@@ -179,45 +225,41 @@ def topk(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE) -
     spark = vectors.sparkSession
     scratch = Scratch(spark)
     whole = scratch.save(integers(vectors, scale), "integers")
-    size = whole.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).first()
-    n, dim = size["n"], size["dim"] or 1
+    size = whole.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim"), F.count_if(is_query).alias("asked")).first()
+    n, dim = size["n"], max(1, size["dim"] or 0)
     turn = rotation(whole, dim)
     # longest first; equal lengths are told apart by id, so a common vector is dealt over many partitions
     parts = max(1, -(-n // PARTITION_ROWS))
     dealt = whole.repartitionByRange(parts, F.col("norm").desc(), F.col("vec_id")).sortWithinPartitions(F.col("norm").desc(), "vec_id")
-    dealt = scratch.save(dealt.select("vec_id", "v"), "dealt")
-    seeds = whole.orderBy(F.col("norm").desc(), "vec_id").limit(SEEDS).select("vec_id", "v").toArrow()
-    seed_ids, seed_m = np.asarray(seeds["vec_id"], np.int64), _matrix(seeds["v"], dim)
-    numbered = whole.where(is_query).select("vec_id", "v")
-    # blocks of queries by a hash; a block has half its bound on average
-    blocks = max(1, -(-2 * numbered.count() // QUERY_BLOCK)) if numbered.limit(QUERY_BLOCK + 1).count() > QUERY_BLOCK else 1
-    numbered = numbered.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
-    found = []
-    for block in range(blocks):
-        rows = numbered.where(F.col("block") == block).toArrow()
+    dealt = scratch.save(dealt.withColumn("part", F.spark_partition_id()), "dealt")
+    # queries by a hash into jobs that have half their bound on average; a job's queries lie together
+    jobs = 1 if size["asked"] <= JOB_QUERIES else -(-2 * size["asked"] // JOB_QUERIES)
+    asked = whole.where(is_query).select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(jobs)).alias("job"))
+    asked = scratch.save(asked if jobs == 1 else asked.repartitionByRange(jobs, "job").sortWithinPartitions("job"), "asked")
+    for job in range(jobs):
+        rows = asked.where(F.col("job") == job).select("vec_id", "v").toArrow()
         if not len(rows):
             continue
-        queries = Queries(np.asarray(rows["vec_id"], np.int64), _matrix(rows["v"], dim), turn)
-        start = Best(len(queries.ids), k)
-        search(start, queries, turn, seed_ids, seed_m)
-        start.cut()
-        least, last = start.least, start.last
-
-        def run(batches: Iterator[pa.RecordBatch], queries=queries, least=least, last=last) -> Iterator[pa.RecordBatch]:
-            best = Best(len(queries.ids), k)
-            best.least, best.last = least.copy(), last.copy()
-            for batch in batches:
-                search(best, queries, turn, np.asarray(batch.column(0), np.int64), _matrix(batch.column(1), dim))
-            q, ids, s = best.cut()
-            for lo in range(0, len(q), 100_000):
-                cols = [queries.ids[q[lo : lo + 100_000]], ids[lo : lo + 100_000], s[lo : lo + 100_000]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["query_id", "vec_id", "score"])
-
-        scratch.save(dealt.mapInArrow(run, _FOUND), f"found/block={block}")
-        found.append(f"{scratch.root}/found/block={block}")
-    out = spark.read.schema(_FOUND).parquet(*found) if found else spark.createDataFrame([], _FOUND)
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        ids, m = np.asarray(rows["vec_id"], np.int64), _matrix(rows["v"], dim)
+        least, last = np.full(len(ids), -np.inf), np.full(len(ids), np.iinfo(np.int64).max)
+        first = scratch.save(_answered(dealt.where(F.col("part") < FIRST), ids, m, turn, k, least, last), f"found/{job}-first")
+        if parts <= FIRST and dealt.where(F.col("part") >= FIRST).isEmpty():
+            continue
+        place = {int(q): i for i, q in enumerate(ids)}
+        for r in _ranked(first, k).where(F.col("rank") == k).select("query_id", "vec_id", "score").toArrow().to_pylist():
+            least[place[r["query_id"]]], last[place[r["query_id"]]] = r["score"], r["vec_id"]
+        with np.errstate(over="ignore", invalid="ignore"):
+            norm = np.sqrt((m**2).sum(1))
+            reach = np.where(norm > 0, (least - 1e-6) / np.maximum(norm, 1e-300), 0)
+        low = float(np.min(reach)) * (1 - 1e-6) if np.isfinite(reach).all() else -1.0
+        rest = dealt.where((F.col("part") >= FIRST) & (F.col("norm") >= (low if low > 0 else -1.0)))
+        scratch.save(_answered(rest, ids, m, turn, k, least, last), f"found/{job}-rest")
+    if size["asked"]:
+        found = spark.read.schema(_FOUND).option("recursiveFileLookup", "true").parquet(f"{scratch.root}/found")
+    else:
+        found = spark.createDataFrame([], _FOUND)
+    scratch.drop("integers", "dealt", "asked")
+    return _ranked(found, k).select("query_id", "rank", "vec_id", "score")
 
 
 def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:

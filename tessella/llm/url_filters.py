@@ -2,7 +2,8 @@
 
 Host, path, rules, features, suffix statistics and scores are DataFrame
 expressions. Suffix statistics (how many URLs share the last label and the last two
-labels of the host) are counted over all rows. Trees are fitted on the driver, by
+labels of the host) are counted over all rows; features are computed of the rows that
+need them, the bounded sample or those to be judged. Trees are fitted on the driver, by
 histograms of binned features and second-order gains, from at most LABELLED
 labelled rows; a quarter of them is set aside and decides how many trees are kept,
 so labels that the features tell nothing about leave the base rate alone. Scoring
@@ -11,10 +12,12 @@ is one Spark expression.
 A URL's label is that of the document whose number ends its path: blocked where
 ``labels.quality`` is 0.
 
-Defined results: null URLs and URLs without ``://`` have empty host and path and no
-rule, and are judged by the trees like any other; rules of equal length go to the
+Defined results: null and empty URLs and URLs without ``://`` have empty host and path
+and no rule, and are judged by the trees like any other; rules of equal length go to the
 first by name; without labels of both classes the score is the share of blocked
-labels (0 without labels); repeated rows get equal results.
+labels (0 without labels); repeated rows get equal results; very long URLs are read
+whole; of splits of equal gain the first feature and the least threshold is taken; an
+empty table gives no rows; extra columns are ignored by the query, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, let, sized, table
+from .common import Scratch, least_by_hash, let, sized, table
 
 #: Bound of the labelled sample that is fitted.
 LABELLED = 20_000
@@ -69,18 +72,35 @@ def _entropy(text: Column) -> Column:
     return F.when(F.length(text) > 0, bits).otherwise(0.0)
 
 
-def with_features(pages: DataFrame) -> DataFrame:
+def _suffix(n: int) -> Column:
+    """The last n labels of a host."""
+    return F.substring_index(host_and_path(F.col("url"))[0], ".", -n)
+
+
+@dataclass
+class Suffixes:
+    """How many URLs share the last label (_one, _n1) and the last two labels (_two, _n2), and how many there are."""
+
+    ones: DataFrame
+    twos: DataFrame
+    total: int
+
+
+def suffixes(pages: DataFrame) -> Suffixes:
+    """Counts over all rows, pre-aggregated by Spark before the shuffle and written to scratch."""
+    scratch = Scratch(pages.sparkSession)
+    twos = pages.groupBy(_suffix(1).alias("_one"), _suffix(2).alias("_two")).agg(F.count("*").alias("_n2"))
+    twos = scratch.save(twos, "twos")
+    ones = scratch.save(twos.groupBy("_one").agg(F.sum("_n2").alias("_n1")), "ones")
+    return Suffixes(ones, twos, ones.agg(F.sum("_n1")).first()[0] or 1)
+
+
+def with_features(pages: DataFrame, known: Suffixes) -> DataFrame:
     """pages plus host, path and a struct ``x`` of FEATURES; pages has a column url."""
     host, path = host_and_path(F.col("url"))
-    last = lambda n: F.substring_index(F.col("host"), ".", -n)
-    out = pages.withColumn("host", host).withColumn("path", path).withColumn("_one", last(1)).withColumn("_two", last(2))
-    # counts of suffixes over all rows: pre-aggregated by Spark before the shuffle
-    scratch = Scratch(pages.sparkSession)
-    both = out.groupBy("_one", "_two").agg(F.count("*").alias("n"))
-    twos = scratch.save(both, "suffixes")
-    ones = scratch.save(twos.groupBy("_one").agg(F.sum("n").alias("_n1")), "last")
-    total = ones.agg(F.sum("_n1")).first()[0] or 1
-    out = out.join(sized(ones), "_one", "left").join(sized(twos.withColumnRenamed("n", "_n2")), ["_one", "_two"], "left")
+    out = pages.withColumn("_one", _suffix(1)).withColumn("_two", _suffix(2))
+    out = out.join(sized(known.ones), "_one", "left").join(sized(known.twos), ["_one", "_two"], "left")
+    out = out.withColumn("host", host).withColumn("path", path)
     url = F.coalesce(F.col("url"), F.lit(""))
     ratio = lambda keep: F.length(F.regexp_replace(url, keep, "")) / F.greatest(F.length(url), F.lit(1))
     query = F.regexp_extract(url, r"(?s)\?([^#]*)", 1)
@@ -94,8 +114,8 @@ def with_features(pages: DataFrame) -> DataFrame:
         "entropy": let(url, _entropy),
         "params": F.when(query == "", 0).otherwise(F.size(F.split(query, "&"))),
         "secure": url.startswith("https").cast("int"),
-        "suffix_share": F.coalesce("_n1", F.lit(0)) / F.lit(total),
-        "domain_share": F.coalesce("_n2", F.lit(0)) / F.lit(total),
+        "suffix_share": F.coalesce("_n1", F.lit(0)) / F.lit(known.total),
+        "domain_share": F.coalesce("_n2", F.lit(0)) / F.lit(known.total),
     }
     x = F.struct(*[values[n].cast("double").alias(n) for n in FEATURES])
     return out.withColumn("x", x).drop("_one", "_two", "_n1", "_n2")
@@ -187,14 +207,13 @@ def labelled(pages: DataFrame, labels: DataFrame) -> DataFrame:
     urls = pages.select("page_id", "url", F.nullif(doc, F.lit("")).try_cast("long").alias("doc_id"))
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("q"))
     rows = urls.join(known, "doc_id").select("page_id", "url", (F.col("q") == 0).cast("int").alias("label"))
-    return rows.orderBy(F.xxhash64("page_id", "url"), "page_id", "url").limit(LABELLED)
+    return least_by_hash(rows, F.xxhash64("page_id", "url"), LABELLED, "page_id", "url")
 
 
-def fit(featured: DataFrame, sample: DataFrame) -> Boosted:
-    """featured: page_id, url, x of all pages; sample: page_id, url, label."""
-    found = featured.select("page_id", "url", "x").join(F.broadcast(sample.dropDuplicates(["page_id", "url"])), ["page_id", "url"])
-    rows = found.groupBy("page_id", "url", "label").agg(F.min("x").alias("x")).select("page_id", "label", "x.*").collect()
-    rows.sort(key=lambda r: ((r["page_id"] or 0) * 2654435761 % 4294967296, r["page_id"] or 0))
+def fit(sample: DataFrame, known: Suffixes) -> Boosted:
+    """Trees of a bounded sample (page_id, url, label); a page and URL that is there more than once counts once."""
+    rows = with_features(sample.dropDuplicates(["page_id", "url"]), known).select("page_id", "url", "label", "x.*").collect()
+    rows.sort(key=lambda r: ((r["page_id"] or 0) * 2654435761 % 4294967296, r["page_id"] or 0, r["url"] or ""))
     x = np.array([[r[n] for n in FEATURES] for r in rows], float).reshape(len(rows), len(FEATURES))
     return learn(x, np.array([r["label"] for r in rows], float))
 
@@ -208,6 +227,6 @@ def judge(featured: DataFrame, model: Boosted, rules=RULES) -> DataFrame:
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    featured = with_features(pages)
-    model = fit(featured, labelled(pages, table(spark, sf_dir, "labels")))
-    return judge(featured, model).select("page_id", "host", "path", "rule", "verdict", "score")
+    known = suffixes(pages)
+    model = fit(labelled(pages, table(spark, sf_dir, "labels")), known)
+    return judge(with_features(pages, known), model).select("page_id", "host", "path", "rule", "verdict", "score")
