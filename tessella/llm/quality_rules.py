@@ -226,3 +226,23 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = judge(docs.select("doc_id", "text"), rules)
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return out.select("doc_id", *[F.col(f"stats.{c}") for c in base], "base_failed", "kept", "rule")
+
+
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op7 tells of a text before any rule is learned: its base columns and limits."""
+    out = statistics(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("base_failed", base_failed())
+    return out.select("doc_id", *[F.col(f"stats.{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "base_failed")
+
+
+ORACLE = {
+    "quality_base": r"""
+    with t as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+    g as (select doc_id, i, ws[i:i + 2] as g from t, unnest(range(1, len(ws) - 1)) u(i)),
+    r as (select doc_id, i from g join (select doc_id, g from g group by all having count(*) > 1) using (doc_id, g)),
+    c as (select doc_id, count(distinct i + d) as n from r, range(3) t(d) group by doc_id),
+    l as (select doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls from t),
+    b as (select doc_id, len(ws) as n_words, coalesce(list_sum(list_transform(ws, lambda w: len(w))), 0)::bigint as word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) as n_symbols,
+      len(ls) - len(list_distinct(ls)) as n_dup_lines, coalesce(n, 0) as n_repeat_words from t join l using (doc_id) left join c using (doc_id))
+    select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from b
+    """
+}

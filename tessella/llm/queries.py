@@ -17,12 +17,14 @@ MODULES = {
     "op6_topk_search": "topk_search",
     "op7_quality_rules": "quality_rules",
 }
+#: Further queries, which SQL can hold to account: a module's function of this name.
+PARTS = {"secret_counts": "secret_scan", "quality_base": "quality_rules", "url_rules": "url_filters"}
 #: Modules with an ``ORACLE`` dict of query name -> DuckDB SQL.
-ORACLES = ("topk_search", "line_dedup", "jaccard_join")
+ORACLES = ("topk_search", "line_dedup", "jaccard_join", "secret_scan", "quality_rules", "url_filters")
 
 
 def queries() -> dict:
-    return {name: getattr(importlib.import_module(f"{__package__}.{m}"), name) for name, m in MODULES.items()}
+    return {name: getattr(importlib.import_module(f"{__package__}.{m}"), name) for name, m in (MODULES | PARTS).items()}
 
 
 def oracle_sql() -> dict[str, str]:

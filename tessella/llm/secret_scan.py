@@ -197,3 +197,22 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
+
+
+def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of op2's base, which SQL can tell (places it can't)."""
+    return op2_secret_scans(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def _any_case(word: str) -> str:
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+
+
+_NAMES = "|".join([*map(_any_case, ("password", "passwd", "secret", "token")), _any_case("api") + "_?" + _any_case("key")])
+ORACLE = {
+    "secret_counts": rf"""
+    with t as (select doc_id, coalesce(text, '') as text from documents)
+    select doc_id, len(list_filter(regexp_extract_all(text, '(?:{_NAMES})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1), lambda x: len(x) >= 12)) as n_assign,
+      len(list_filter(regexp_extract_all(text, 'AKIA[A-Z0-9]+'), lambda x: len(x) >= 18)) as n_access, len(list_filter(regexp_extract_all(text, '[0-9a-f]+'), lambda x: len(x) >= 16)) as n_hex from t
+    """
+}

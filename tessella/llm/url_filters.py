@@ -230,3 +230,21 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = suffixes(pages)
     model = fit(labelled(pages, table(spark, sf_dir, "labels")), known)
     return judge(with_features(pages, known), model).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op10 tells of a URL before any tree: host, path, and the longest rule that fits with what it says."""
+    host, path = host_and_path(F.col("url"))
+    rule, says = matched(F.col("host"), F.col("path"))
+    out = table(spark, sf_dir, "pages").select("page_id", host.alias("host"), path.alias("path"))
+    return out.select("page_id", "host", "path", rule.alias("rule"), says.alias("says"))
+
+
+ORACLE = {
+    "url_rules": rf"""
+    with r(rule, says) as (values {", ".join(f"('{n}', '{v}')" for n, v in RULES)}),
+    p as (select page_id, translate(regexp_extract(coalesce(url, ''), '{_URL}', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(coalesce(url, ''), '{_URL}', 2) as path from pages),
+    m as (select page_id, host, path, max_by(rule, len(rule)) as rule, max_by(says, len(rule)) as says from p join r on (host = split_part(rule, '/', 1) or ends_with(host, '.' || split_part(rule, '/', 1))) and starts_with(path, substr(rule, strpos(rule, '/'))) group by all)
+    select p.page_id, p.host, p.path, rule, says from p left join (select distinct host, path, rule, says from m) m on m.host = p.host and m.path = p.path
+    """
+}
