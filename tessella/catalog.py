@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import curation_queries, distance_queries, monitor_queries, raster_queries, search_queries, transform_queries
+from .plans import curation_queries, distance_queries, monitor_queries, raster_queries, search_queries, training_queries, transform_queries
 from .streaming import progress
 
-MODULES = (raster_queries, distance_queries, curation_queries, search_queries, monitor_queries, transform_queries, progress)
+MODULES = (raster_queries, distance_queries, curation_queries, search_queries, monitor_queries, transform_queries, training_queries, progress)
 
 
 def queries() -> dict:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import copy
+import html
 import json
 from collections.abc import Iterator
 
@@ -164,6 +165,17 @@ def rectify_folder(spark: SparkSession, folder: str, out: str, **limits) -> Data
     return found
 
 
+def gallery(spark: SparkSession, folder: str, title: str, sections: list[tuple[str, list[tuple[str, str]]]], width: int = 400, refresh: int = 0) -> None:
+    """index.html of a folder: per section a heading and a row of images (file below images/, caption), each a link to itself."""
+    parts = [f'<meta http-equiv="refresh" content="{refresh}">'] if refresh else []
+    parts = [f"<!DOCTYPE html>\n<html><head><title>{html.escape(title)}</title>{''.join(parts)}</head><body>"]
+    for head, shown in sections:
+        cells = [f'<td style="word-wrap: break-word;" valign="top"><a href="images/{html.escape(f, True)}"><img style="width:{width}px" src="images/{html.escape(f, True)}"></a><p>{html.escape(text)}</p></td>' for f, text in shown]
+        parts.append(f'<h3>{html.escape(head)}</h3><table border="1" style="table-layout: fixed;"><tr>{"".join(cells)}</tr></table>')
+    page = "\n".join([*parts, "</body></html>"])
+    write_files(spark.createDataFrame([("index.html", bytearray(page.encode()))], "name string, content binary"), folder)
+
+
 def save_images(rows: DataFrame, folder: str) -> None:
     """Rows (label, stem, h, w, channels, data of 0..255) as <label>/<stem>.png."""
     write_files(as_files(rows.withColumn("name", F.concat("label", F.lit("/"), "stem", F.lit(".png")))), folder)

@@ -15,13 +15,17 @@ from ..operators.batches import Rows, schema_of
 from ..plans.curation_queries import IMAGE_EXTENSIONS, is_image
 
 
-def listed(spark: SparkSession, folder: str, recursive: bool = True, preset: str = "pipeline") -> DataFrame:
-    """path, name and size of the image files of a folder, hidden ones left out; the content is not read."""
+def listed(spark: SparkSession, folder: str, recursive: bool = True, preset: str = "pipeline", limit: int = 0) -> DataFrame:
+    """path, name and size of the image files of a folder, hidden ones left out; the content is not read.
+
+    Links are followed. A folder that is not there is an error. limit: the first files by path alone (0: all).
+    """
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
     if not recursive:
         rows = rows.where(F.substring_index("path", "/", -2) == F.concat(F.lit(folder.rstrip("/").rpartition("/")[2] + "/"), F.substring_index("path", "/", -1)))
     rows = rows.select("path", F.substring_index("path", "/", -1).alias("name"), F.col("length").alias("size"))
-    return rows.where(is_image(F.col("name"), preset))
+    rows = rows.where(is_image(F.col("name"), preset))
+    return rows.orderBy("path").limit(limit) if limit else rows
 
 
 def _unfiltered(raw: np.ndarray, step: int) -> np.ndarray:

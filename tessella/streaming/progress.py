@@ -27,6 +27,16 @@ def lines_of(events: DataFrame) -> DataFrame:
     return events.select(F.col("user_id").alias("run"), "ts", "event_id", line.alias("line"))
 
 
+def line_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of the log files of a folder as a stream (run: the file's name; ts: when the line was read).
+
+    A file that is there whole is read to its end once; new files are picked up as they come.
+    """
+    rows = spark.readStream.option("recursiveFileLookup", "true").text(folder)
+    name = F.regexp_replace(F.substring_index(F.input_file_name(), "/", -1), r"\.[^.]*$", "")
+    return rows.select(name.alias("run"), F.current_timestamp().alias("ts"), F.col("value").alias("line"))
+
+
 def latest(lines: DataFrame) -> DataFrame:
     """The last iteration line of each run, by time; one state row a run."""
     rows = parsed(lines).where("epoch is not null")

@@ -14,11 +14,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella import preprocess
-from tessella.operators import folder, kernels, pipeline, regions
-from tessella.plans import curation_queries, distance_queries, raster_queries
 from tessella.functions import raster as R
+from tessella.operators import folder, kernels, pipeline, regions, transforms
+from tessella.plans import curation_queries, distance_queries, raster_queries, training_queries
 from tessella.sources import images, sinks
 from tessella.sources.files import write_files
+from tessella.streaming import progress
 
 
 def chunk(kind, body):
@@ -281,6 +282,60 @@ def test_overlays_and_label_folders(spark, pictures, tmp_path):
     assert images.decode_png((tmp_path / "res" / "real_A" / "a.png").read_bytes()).tolist() == [[[1, 2, 3]]]
 
 
+def test_listing_follows_links(spark, pictures, tmp_path):
+    path, _ = pictures
+    (tmp_path / "d").mkdir()
+    os.symlink(path, tmp_path / "d" / "linked")
+    os.symlink(f"{path}/00005.png", tmp_path / "d" / "one.png")
+    names = sorted(r["name"] for r in images.listed(spark, str(tmp_path / "d")).collect())
+    assert names == sorted(["one.png", *(r["name"] for r in images.listed(spark, path).collect())])
+    assert [r["name"] for r in images.listed(spark, path, limit=2).collect()] == ["00000.png", "00002.TIF"]
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        images.listed(spark, str(tmp_path / "nothing"))
+
+
+def test_gallery(spark, tmp_path):
+    folder.gallery(spark, str(tmp_path), "runs & more", [("a", [("fake/1.png", "fake <1>")])], refresh=5)
+    page = (tmp_path / "index.html").read_text()
+    assert "runs &amp; more" in page and 'src="images/fake/1.png"' in page and "fake &lt;1&gt;" in page and 'content="5"' in page
+
+
+def test_transform_chain(spark):
+    x = np.random.default_rng(2).integers(0, 256, (20, 30, 3)).astype(float)
+    df = spark.createDataFrame([(i, 20, 30, 3, x.ravel().tolist()) for i in range(12)], "img long, h int, w int, channels int, data array<double>")
+    o = transforms.Options
+    sizes = {"none": (20, 32), "resize": (24, 24), "scale_width": (16, 24), "scale_shortside": (24, 36), "crop": (12, 12), "patch": (12, 12), "trim": (12, 12), "zoom": None}
+    for spec, size in sizes.items():
+        for r in transforms.apply(df, o(spec, load_size=24, crop_size=12, convert=False)).collect():
+            assert size in (None, (r["h"], r["w"])) and r["h"] % 4 == r["w"] % 4 == 0 and r["channels"] == 3
+    assert [n for n, _ in transforms.steps(o("scale_width_and_crop", gray=True))] == ["gray", "scale_width", "crop", "multiple_of_4", "flip", "normalise"]
+    flips = set()
+    for r in transforms.apply(df, o("crop", crop_size=12, gray=True)).collect():
+        y, k = int(transforms.drawn(r["img"], "y") * 9), int(transforms.drawn(r["img"], "x") * 19)
+        want = (x[y : y + 12, k : k + 12] @ [0.299, 0.587, 0.114]) / 127.5 - 1
+        flip = transforms.drawn(r["img"], "f") > 0.5
+        flips.add(flip)
+        np.testing.assert_allclose(np.array(r["data"]).reshape(12, 12), want[:, ::-1] if flip else want, atol=1e-9)
+    assert flips == {False, True}
+    assert np.allclose(transforms.resampled(np.full((7, 5, 1), 9.0), 12, 3), 9)
+    with pytest.raises(Exception, match="smaller than a patch"):
+        transforms.apply(df, o("patch", crop_size=40)).collect()
+
+
+def test_pairs_that_do_not_belong_together(spark):
+    if os.path.isdir("/root/testdata/sf0.001"):
+        with pytest.raises(ValueError, match="do not belong together"):
+            training_queries.checked_pairs(spark, "/root/testdata/sf0.001")
+
+
+def test_lines_as_a_stream(spark, tmp_path):
+    (tmp_path / "logs").mkdir()
+    (tmp_path / "logs" / "r1.txt").write_text("(epoch: 1, iters: 5, time: 0.1, data: 0.1) G_GAN: 1.5\nnoise\n(epoch: 2, iters: 7, time: 0.1, data: 0.1) G_GAN: 0.5\n")
+    query = progress.line_stream(spark, str(tmp_path / "logs")).writeStream.format("memory").queryName("lines").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "state")).start()
+    query.awaitTermination()
+    assert sorted((r["run"], r["line"][:9]) for r in spark.table("lines").collect()) == [("r1", "(epoch: 1"), ("r1", "(epoch: 2"), ("r1", "noise")]
+
+
 def test_results_are_read_back(spark, tmp_path):
     best = {"signature": "a>b", "composite": 0.5}
     assert sinks.load_json(spark, sinks.save_json(spark, best, str(tmp_path / "best.json"))) == best
