@@ -99,7 +99,7 @@ def run_folder(spark: SparkSession, config: dict) -> DataFrame:
     rows = seen.drop("n").join(done, "img")
     good = rows.where("status = 'success'")
     write_files(as_files(good.select(F.concat(F.lit("images/"), "stem", F.lit(".png")).alias("name"), F.col("out_h").alias("h"), F.col("out_w").alias("w"), "channels", "data")), out)
-    if place.get("previews", 6):
+    if place.get("previews", 6):  # a few
         some = good.orderBy("path").limit(int(place.get("previews", 6))).select("img", "stem", "out_h", "out_w", "channels", F.col("data").alias("after"))
         write_files(previews(some.join(images.select("img", "h", "w", "data"), "img")), out)
     shown = F.when(F.col("status") == "success", F.concat(F.lit(f"{out}/images/"), "stem", F.lit(".png")))

@@ -104,3 +104,27 @@ def checked_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     if first:
         raise ValueError(f"pair {first['i']}: {first['path_a']} and {first['path_b']} do not belong together")
     return zip_pairs(spark, sf_dir)
+
+
+@query(
+    "written_images",
+    f"""with {GRIDS_SQL}, u as (select img, trunc(case when img % 13 = 0 then 0.25 else v end * 255) as u from g), m as (select img, u, max(u) over (partition by img) as top, img % 13 = 0 as flat from u)
+    select img, case when flat then 'skipped' else 'success' end as status, case when flat then 'empty/constant image' end as error, 8::int as orig_h, 8::int as orig_w, case when not flat then 8 end::int as out_h,
+      sum(case when not flat then trunc(u / top * 255) end)::bigint as total from m group by img, flat""",
+)
+def written_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run over a folder of PNG files, from the files that are written for it to those that it writes: status, sizes, and the sum of the pixels read back."""
+    from ..operators import folder
+    from ..scratch import Scratch
+    from ..sources.files import write_files
+    from ..sources.images import read_images
+
+    scratch = Scratch(spark)
+    flat = F.col("img") % 13 == 0
+    rows = grids(spark, sf_dir).select("img", "h", "w", F.transform("data", lambda v: F.floor(F.when(flat, 0.25).otherwise(v) * 255.0).cast("double")).alias("data"))
+    write_files(folder.as_files(rows.select(F.concat(F.col("img").cast("string"), F.lit(".png")).alias("name"), "h", "w", F.lit(1).alias("channels"), "data")), f"{scratch.root}/in")
+    steps = [{"name": n, "params": {}} for n in ("validate_image", "channel_adapter", "normalize_for_cut")]
+    done = folder.run_folder(spark, {"io": {"input_dir": f"{scratch.root}/in", "output_dir": f"{scratch.root}/out", "previews": 0}, "pipeline": {"steps": steps}})
+    done = done.select(folder.stem(F.col("input_path")).cast("long").alias("img"), "status", "error", "orig_h", "orig_w", "out_h")
+    back = read_images(spark, f"{scratch.root}/out/images").select(folder.stem(F.col("path")).cast("long").alias("img"), F.aggregate("data", F.lit(0.0), lambda a, v: a + v).cast("long").alias("total"))
+    return done.join(back, "img", "left")
