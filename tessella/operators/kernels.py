@@ -99,14 +99,25 @@ def frost(x, size, damping):
     return top / (under + EPS)
 
 
+def block_matched(x, sigma, ctx):
+    """The bm3d library's filter; refined_lee with a warning where it is not installed or fails."""
+    try:
+        import bm3d
+
+        noise = float((x - box(x, 3)).std()) if sigma in ("auto", None) else float(sigma)
+        return bm3d.bm3d(x, sigma_psd=max(noise, 1e-3))
+    except Exception as e:  # whatever ails the library, the image is filtered
+        ctx["warnings"].append(f"bm3d: {type(e).__name__}, refined_lee instead")
+        return refined_lee(x, 7, looks(x))
+
+
 def speckle(x, params, ctx):
     x, size = gray01(x), int(params.get("window_size", 7))
     enl = looks(x) if params.get("enl", "auto") in ("auto", None) else float(params["enl"])
     ctx["enl"] = round(enl, 3)
     method = params.get("method", "refined_lee")
-    if method == "bm3d":  # that library is not a dependency: its fallback is the method
-        ctx["warnings"].append("bm3d is not installed: refined_lee instead")
-        out = refined_lee(x, 7, looks(x))
+    if method == "bm3d":
+        out = block_matched(x, params.get("bm3d_sigma", "auto"), ctx)
     elif method == "frost":
         out = frost(x, size, float(params.get("damping_factor", 2.0)))
     else:

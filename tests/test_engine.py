@@ -72,6 +72,18 @@ def test_pipeline_records_every_image(spark):
     assert out[0]["warnings"] and "no such step" not in out[0]["steps"] and max(out[0]["data"]) <= 255
 
 
+def test_block_matching_library_or_fallback(monkeypatch):
+    import sys
+    import types
+
+    x, ctx = np.random.default_rng(0).random((16, 16)), {"warnings": []}
+    assert np.allclose(kernels.block_matched(x, "auto", ctx), kernels.refined_lee(x, 7, kernels.looks(x))) and len(ctx["warnings"]) == 1
+    seen = []
+    monkeypatch.setitem(sys.modules, "bm3d", types.SimpleNamespace(bm3d=lambda x, sigma_psd: seen.append(sigma_psd) or x * 0))
+    assert not kernels.block_matched(x, "auto", ctx).any() and not kernels.block_matched(x, 0.2, ctx).any()
+    assert seen == [pytest.approx(float((x - kernels.box(x, 3)).std())), 0.2] and len(ctx["warnings"]) == 1
+
+
 def test_spec_edits():
     spec = pipeline.default_spec()
     assert [s["name"] for s in pipeline.moved(spec, 2, -1)][1:3] == ["speckle_filter", "sar_intensity_transform"]
