@@ -150,13 +150,17 @@ def prefixes(docs: DataFrame, k: int, percent: int, rank: np.ndarray) -> DataFra
 
 
 def meeting(pairs: DataFrame, sides: DataFrame) -> DataFrame:
-    """The pairs (a, b) that share a prefix token under every order of ORDERS; sides: id and a prefix per order."""
+    """The pairs (a, b) that share a prefix token under every order of ORDERS; sides: id and a prefix per order.
+
+    A pair comes once for each two sets of its ids that do. What follows must not depend on how
+    the joins are partitioned: many pairs have one pivot, and Spark splits such a join only then.
+    """
     out = pairs
     for s in ("a", "b"):
         out = out.join(sides.select(F.col("id").alias(s), *[F.col(o).alias(f"{s}_{o}") for o in OTHERS]), s)
     for o in OTHERS:
         out = out.where(F.arrays_overlap(f"a_{o}", f"b_{o}"))
-    return out.select("a", "b").distinct()
+    return out.select("a", "b")
 
 
 def whole_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -287,7 +291,7 @@ def classes(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, report: dic
         pairs = scratch.save(pairs, f"pairs-{name}")
         both = lambda p: p.select(F.col("a").alias("id")).unionByName(p.select(F.col("b").alias("id"))).distinct()
         ids = scratch.save(both(pairs), f"ids-{name}")
-        met = scratch.save(meeting(pairs, sides.join(sized(ids), "id", "left_semi")), f"met-{name}")
+        met = scratch.save(meeting(pairs, sides.join(sized(ids), "id", "left_semi")), f"met-{name}").distinct()
         ids = scratch.save(both(met).withColumnRenamed("id", "doc_id"), f"met-ids-{name}")
         sets = scratch.save(whole_sets(docs.join(sized(ids), "doc_id", "left_semi"), k), f"sets-{name}")
         new = scratch.save(linked(met, sets, percent), f"links-{name}")
