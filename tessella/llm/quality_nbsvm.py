@@ -36,13 +36,14 @@ THRESHOLD = 0.3
 #: Words that a worker remembers.
 CACHE = 300_000
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-_RUNS = [(re.compile(r"[A-ZÀ-ÖØ-Þ]+"), "A"), (re.compile(r"[a-zß-öø-ÿ]+"), "a"), (re.compile(r"[0-9]+"), "0"), (re.compile(r"(.)\1+"), r"\1\1")]
+#: Letters and digits by their kind: A, a or 0.
+_KIND = {k: "A" for k in (*range(65, 91), *range(0xC0, 0xD7), *range(0xD8, 0xDF))} | {k: "a" for k in (*range(97, 123), *range(0xDF, 0xF7), *range(0xF8, 0x100))} | {k: "0" for k in range(48, 58)}
+_ONE, _TWO = re.compile(r"([Aa0])\1+"), re.compile(r"(.)\1+")
 
 
 def shape(word: str) -> str:
-    for pattern, to in _RUNS:
-        word = pattern.sub(to, word)
-    return word
+    """Runs of capitals, small letters and digits as one A, a or 0 each; other runs as two of their mark."""
+    return _TWO.sub(r"\1\1", _ONE.sub(r"\1", word.translate(_KIND)))
 
 
 class Indicators:
@@ -50,6 +51,7 @@ class Indicators:
 
     def __init__(self, bits: int = BITS):
         self.mask, self.known = np.uint64((1 << bits) - 1), {}
+        self.hashes = np.empty((1024, 2), np.uint64)  # of known words, by their numbers
 
     def _look(self, word: bytes) -> tuple[int, int]:
         text = word.decode("utf-8", "replace")
@@ -62,10 +64,14 @@ class Indicators:
         known = self.known
         if len(known) > CACHE:
             known.clear()
-        for w in set(words).difference(known):
-            known[w] = self._look(w)
-        pairs = np.array([known[w] for w in words], np.uint64)
-        w, s = pairs[:, 0], pairs[:, 1]
+        new = list(set(words).difference(known))
+        first = len(known)
+        if first + len(new) > len(self.hashes):
+            self.hashes = np.concatenate([self.hashes[:first], np.empty((first + 2 * len(new), 2), np.uint64)])
+        if new:
+            self.hashes[first : first + len(new)] = np.array([self._look(w) for w in new], np.uint64)
+            known.update(zip(new, range(first, first + len(new)), strict=True))
+        w, s = self.hashes[np.fromiter(map(known.__getitem__, words), np.int64, len(words))].T
         m1, m2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
         same = np.flatnonzero(w[1:] == w[:-1]) + 1
         s = s.copy()
