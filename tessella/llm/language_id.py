@@ -17,8 +17,10 @@ rows; extra columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,20 +36,28 @@ BITS, EPOCHS = 15, 3
 STEP, BETA, L1, L2 = 0.3, 1.0, 0.02, 0.5
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
-_OTHER = regex.compile(r"[^\p{L}\p{M}']+")
+
+
+@lru_cache(maxsize=1)
+def _inside() -> np.ndarray:
+    """By code point: whether it belongs to words (letters, marks and the apostrophe)."""
+    return np.fromiter((unicodedata.category(chr(k))[0] in "LM" or k == 39 for k in range(0x110000)), bool, 0x110000)
 
 
 def counts(text: str, bits: int = BITS) -> np.ndarray:
-    """How often each hashed n-gram occurs in a whole text."""
-    x = np.frombuffer((" " + _OTHER.sub(" ", text.lower()).strip() + " ").encode("utf-32-le", "replace"), "<u4").astype(np.uint32)
+    """How often each hashed n-gram occurs in a whole text; what is in no word counts as one blank between words."""
+    x = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "replace"), "<u4").astype(np.uint32)
+    word = _inside()[x]
+    word[0] = True  # the first blank stays
+    x = np.where(word, x, np.uint32(32))[word | np.append(True, word[:-1])]
+    x = x[1:] if len(x) > 1 and x[1] == 32 else x
+    x = x if len(x) > 1 and x[-1] == 32 else np.append(x, np.uint32(32))
     m = np.uint32(0x9E3779B1)
     a = (x + np.uint32(0x51ED)) * m
     b = (a[:-1] ^ (x[1:] + np.uint32(0x2C1B))) * np.uint32(0x85EBCA6B)
     c = (b[:-1] ^ (x[2:] + np.uint32(0x7F4A))) * np.uint32(0xC2B2AE35)
-    out = np.zeros(1 << bits, np.int64)
-    for h in (a, b, c):
-        out += np.bincount((h ^ (h >> np.uint32(15))) >> np.uint32(32 - bits), minlength=1 << bits)
-    return out
+    h = np.concatenate([a, b, c])
+    return np.bincount((h ^ (h >> np.uint32(15))) >> np.uint32(32 - bits), minlength=1 << bits)
 
 
 @dataclass
@@ -99,21 +109,22 @@ def learn_counts(texts: list[tuple[np.ndarray, np.ndarray]], langs: list[str]) -
     rows = [(at, (x := v * model.idf[at]) / np.sqrt(x @ x)) for at, v in raw]
     z, n2 = np.zeros((size + 1, k)), np.zeros((size + 1, k))
 
-    def weights(at: np.ndarray) -> np.ndarray:
-        zi, w = z[at], -(z[at] - np.sign(z[at]) * L1) / ((BETA + np.sqrt(n2[at])) / STEP + L2)
-        return np.where(np.abs(zi) <= L1, 0.0, w)
+    def weights(zi: np.ndarray, root: np.ndarray) -> np.ndarray:
+        return (np.clip(zi, -L1, L1) - zi) / ((BETA + root) / STEP + L2)
 
     aside = np.arange(len(y)) % 5 == 4
     rng, one = np.random.default_rng(3), np.eye(k)
     for _ in range(EPOCHS):
         for i in rng.permutation(np.flatnonzero(~aside)):
             at, x = np.append(rows[i][0], size), np.append(rows[i][1], 1.0)
-            w = weights(at)
+            zi, ni = z[at], n2[at]
+            root = np.sqrt(ni)
+            w = weights(zi, root)
             g = x[:, None] * (_softmax(x @ w) - one[y[i]])[None, :]
-            sigma = (np.sqrt(n2[at] + g * g) - np.sqrt(n2[at])) / STEP
-            z[at] += g - sigma * w
-            n2[at] += g * g
-    full = weights(np.arange(size + 1))
+            ni += g * g
+            z[at] = zi + g - (np.sqrt(ni) - root) / STEP * w
+            n2[at] = ni
+    full = weights(z, np.sqrt(n2))
     model.weights, model.bias = full[:-1], full[-1]
     logits = np.array([rows[i][1] @ model.weights[rows[i][0]] + model.bias for i in np.flatnonzero(aside)]).reshape(-1, k)
     if len(logits):
