@@ -15,7 +15,7 @@ BROADCAST_BYTES = 64 << 20
 ROW_BYTES = 40
 
 #: Rows and bytes of an Arrow batch of whole texts: what a Python worker holds at once.
-BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def text_batches(df: DataFrame) -> DataFrame:
