@@ -376,5 +376,21 @@ def metric_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The data set's metrics as lines of text."""
     rows = dataset_quality(spark, sf_dir)
     wide = rows.where("image = '__AVG__'").select(*[F.col(m).alias(f"a_{m}") for m in METRICS], "n").join(F.broadcast(rows.where("image = '__STD__'").select(*[F.col(m).alias(f"s_{m}") for m in METRICS])))
-    lines = [F.format_string(f"- {m:<16}: %8.4f +- %.4f", f"a_{m}", f"s_{m}") for m in METRICS]
-    return wide.select(F.posexplode(F.array(F.format_string("metrics of %d images", "n"), *lines)).alias("line", "text"))
+    return summary_lines(wide)
+
+
+def summary_lines(wide: DataFrame) -> DataFrame:
+    """The lines of a row of n, a_ and s_ metrics; the text is null where a metric is.
+
+    Numbers are printed by Python, which rounds the exact value of a double as printf does. Java's formatter rounds
+    its shortest decimal half up: 5.69835, a little less than that, becomes 5.6984 and not 5.6983.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                both = [(m, r[f"a_{m}"], r[f"s_{m}"]) for m in METRICS]
+                text = [f"metrics of {r['n']} images", *(None if a is None or s is None else f"- {m:<16}: {a:8.4f} +- {s:.4f}" for m, a, s in both)]
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(text)), pa.int32()), pa.array(text, pa.string())], names=["line", "text"])
+
+    return wide.mapInArrow(run, "line int, text string")

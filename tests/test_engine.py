@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import raster as R
 from tessella.operators import kernels, pipeline
-from tessella.plans import distance_queries, search_queries
+from tessella.plans import distance_queries, search_queries, transform_queries
 from tessella.sources import images, sinks
 from tessella.streaming.progress import ReplayBuffer, stalls
 
@@ -61,6 +61,30 @@ def test_metrics_by_definition(pictures, spark):
     assert flat.select(R.correlation(F.col("d"), F.col("d"))).first()[0] == 0.0
 
 
+@pytest.mark.parametrize("step", [(3, 11), (9, 15), (7, 17), None])
+def test_metric_summary_prints_as_sql(spark, tmp_path, step):
+    """One image whose average is next to a tie (0.39375, 0.60625) or on it (0.40625); no image."""
+    import duckdb
+
+    rows = [(0, [float((i * i * step[0] + i) % step[1]) for i in range(64)], 0)] if step else []
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    db = duckdb.connect()
+    db.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = sorted(db.execute(transform_queries.ORACLE["metric_summary"]).fetchall())
+    assert sorted(map(tuple, transform_queries.metric_summary(spark, str(tmp_path)).collect())) == want
+
+
+@pytest.mark.parametrize("value", [5.69835, 0.00015, 5e-05, 0.09375, 12345.67895, -0.49905, float("nan"), None])
+def test_summary_lines_print_as_sql(spark, value):
+    import duckdb
+
+    kind = "n long, " + ", ".join(f"{k}_{m} double" for m in transform_queries.METRICS for k in "as")
+    rows = transform_queries.summary_lines(spark.createDataFrame([(7, *[value, 1.5] * 5, 1.5, value)], kind)).collect()
+    numbers = [(value, 1.5)] * 5 + [(1.5, value)]
+    want = [duckdb.execute(f"select printf('- {m:<16}: %8.4f +- %.4f', ?::double, ?::double)", p).fetchone()[0] for m, p in zip(transform_queries.METRICS, numbers, strict=True)]
+    assert sorted(map(tuple, rows)) == [(0, "metrics of 7 images"), *enumerate(want, 1)]
+
+
 def test_pipeline_records_every_image(spark):
     rows = [(0, 4, 4, [float(i) for i in range(16)]), (1, 4, 4, [0.5] * 16), (2, 4, 4, [1.0]), (3, None, None, None)]
     df = spark.createDataFrame(rows, "img long, h int, w int, data array<double>")
